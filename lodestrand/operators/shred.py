@@ -152,36 +152,45 @@ def shred(df: DataFrame, key: str, column: str, leaves: list[Leaf]) -> DataFrame
     return source.mapInPandas(run, "rec_id string, leaf string, rs array<int>, ds array<int>, vs array<string>")
 
 
-def assemble(shredded: DataFrame, leaf: Leaf, *keys: str) -> DataFrame:
-    """The items of the innermost repeated ancestor of ``leaf``: ``keys``, ``parent_path``, ``path``, ``val``.
+def _paths(leaf: Leaf) -> tuple[Column, Column]:
+    """Parent path and path of an item of the innermost repeated ancestor, from the places ``i1``, ``i2``..."""
+    last = leaf.groups[-1]
+    path: list[Column] = []
+    parent: list[Column] = []
+    level = 0
+    for i, (name, repeated) in enumerate(leaf.steps[:last]):
+        path.append(F.lit(name))
+        if i < last - 1:
+            parent.append(F.lit(name))
+        if repeated:
+            level += 1
+            path.append(F.col(f"i{level}").cast("string"))
+            if i < last - 1:
+                parent.append(F.col(f"i{level}").cast("string"))
+    return F.concat_ws("/", *parent) if parent else F.lit(""), F.concat_ws("/", *path)
+
+
+def assemble(shredded: DataFrame, leaves: list[Leaf]) -> DataFrame:
+    """The items of the innermost repeated ancestor of each leaf: ``rec_id``, ``leaf``, ``parent_path``, ``path``, ``val``.
 
     The place of an item at repeated level j is the number of entries with that repetition level since the last entry
-    with a lower one; an item exists where the definition level reaches its ancestor.
+    with a lower one; an item exists where the definition level reaches its ancestor. All leaves are rebuilt in one pass,
+    ordered within a record and leaf, so the largest group is one record.
     """
-    keys = keys or ("rec_id",)
-    groups = leaf.groups
-    depth = len(groups)
-    rows = shredded.where(F.col("leaf") == leaf.path).select(*keys, F.posexplode(F.arrays_zip("rs", "ds", "vs")).alias("at", "e")).select(*keys, "at", "e.rs", "e.ds", "e.vs")
+    keys = ("rec_id", "leaf")
+    depth = max(len(leaf.groups) for leaf in leaves)
+    rows = shredded.where(F.col("leaf").isin([leaf.path for leaf in leaves])).select(*keys, F.posexplode(F.arrays_zip("rs", "ds", "vs")).alias("at", "e")).select(*keys, "at", "e.rs", "e.ds", "e.vs")
     order = Window.partitionBy(*keys).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    if depth:
-        rows = rows.select("*", *(F.sum((F.col("rs") == j).cast("int")).over(order).alias(f"c{j}") for j in range(1, depth + 1)))
-        rows = rows.select("*", *(F.last(F.when(F.col("rs") < j, F.col(f"c{j}")), ignorenulls=True).over(order).alias(f"b{j}") for j in range(1, depth + 1)))
-    steps = leaf.steps
-
-    def upto(n: int, with_place: bool) -> list[Column]:
-        parts: list[Column] = []
-        level = 0
-        for i, (name, repeated) in enumerate(steps[:n]):
-            parts.append(F.lit(name))
-            if repeated:
-                level += 1
-                if i < n - 1 or with_place:
-                    parts.append((F.col(f"c{level}") - F.col(f"b{level}")).cast("string"))
-        return parts
-
-    last = groups[-1]
-    parent = upto(last - 1, True)
-    return rows.where(F.col("ds") >= last).select(*keys, (F.concat_ws("/", *parent) if parent else F.lit("")).alias("parent_path"), F.concat_ws("/", *upto(last, True)).alias("path"), F.col("vs").alias("val"))
+    rows = rows.select("*", *(F.sum((F.col("rs") == j).cast("int")).over(order).alias(f"c{j}") for j in range(1, depth + 1)))
+    rows = rows.select("*", *((F.col(f"c{j}") - F.last(F.when(F.col("rs") < j, F.col(f"c{j}")), ignorenulls=True).over(order)).alias(f"i{j}") for j in range(1, depth + 1)))
+    parent = path = level = None
+    for leaf in leaves:
+        a, b = _paths(leaf)
+        here = F.col("leaf") == leaf.path
+        parent = F.when(here, a) if parent is None else parent.when(here, a)
+        path = F.when(here, b) if path is None else path.when(here, b)
+        level = F.when(here, leaf.groups[-1]) if level is None else level.when(here, leaf.groups[-1])
+    return rows.where(F.col("ds") >= level).select(*keys, parent.alias("parent_path"), path.alias("path"), F.col("vs").alias("val"))
 
 
 def latest_version(df: DataFrame, key: str, stamp: str, body: str) -> DataFrame:

@@ -32,14 +32,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     for tbl, groups in GROUPS.items():
         leaves = [kind_leaf(g) for g in groups]
         levels = shred(spread(records(spark, sf_dir, tbl)), *KEYS[tbl], leaves)
-        items = reduce(DataFrame.unionByName, (assemble(levels, leaf) for leaf in leaves))
-        parts.append(items.where("val = 'object'").select(F.lit(tbl).alias("tbl"), "rec_id", "parent_path", "path"))
+        parts.append(assemble(levels, leaves).where("val = 'object'").select(F.lit(tbl).alias("tbl"), "rec_id", "parent_path", "path"))
     return reduce(DataFrame.unionByName, parts)
 
 
 def _wide(levels: DataFrame, leaves: dict[str, Leaf]) -> DataFrame:
     """The flat table of one list: one column per leaf of the same repeated ancestor."""
-    tagged = reduce(DataFrame.unionByName, (assemble(levels, leaf).withColumn("field", F.lit(name)) for name, leaf in leaves.items()))
+    names = F.create_map(*(F.lit(x) for name, leaf in leaves.items() for x in (leaf.path, name)))
+    tagged = assemble(levels, list(leaves.values())).withColumn("field", names[F.col("leaf")])
     return tagged.groupBy("rec_id", "parent_path", "path").agg(*(F.max(F.when(F.col("field") == name, F.col("val"))).alias(name) for name in leaves))
 
 
