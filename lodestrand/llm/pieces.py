@@ -1,7 +1,7 @@
 """Oversized texts as overlapping pieces cut at natural boundaries.
 
 Every place a piece may end is a boundary. A piece that ends at a boundary decides where the next one begins (the overlap
-before it, or the first boundary within the overlap) and so the farthest boundary the next piece may reach: the
+before it, or the first boundary in the first half of the overlap) and so the farthest boundary the next piece may reach: the
 boundary's successor. Squaring the successor table gives the cuts of all texts in parallel, in rounds that grow with the
 logarithm of the pieces of the longest text.
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lodestrand.session import cut
 
 # White space and marks a piece may end at.
-SPACE = r"\s\u001c-\u001f\u0085   -     　"
+SPACE = r"\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MARKS = r".!?;:,。！？；：，、।…"
 STOPS = [".", "!", "?", "。", "！", "？", "।", "…"]
 WIDE_STOPS = ["。", "！", "？", "।", "…"]
@@ -37,7 +37,7 @@ def boundaries(df: DataFrame, key: str, column: str, limit: int, overlap: int) -
     mark: Column = F.col("last").rlike(f"^[{MARKS}]$")
     rank = (
         F.when(F.col("pos") == F.col("size"), 6)
-        .when(F.col("last").isin("\n", "\r", " ", " "), 5)
+        .when(F.col("last").isin("\n", "\r", "\u2028", "\u2029"), 5)
         .when(F.col("last").isin(WIDE_STOPS) & ~F.col("after").isin(CLOSERS + WIDE_STOPS), 4)
         .when(blank & F.col("before").isin(STOPS), 4)
         .when(F.col("last").isin([c for c in CLAUSES if ord(c) > 127]), 3)
@@ -60,7 +60,7 @@ def successors(bounds: DataFrame, key: str, limit: int, overlap: int) -> DataFra
     """
     begin = bounds.groupBy(key).agg(F.max("forced").alias("forced")).select(key, F.lit(0).cast("bigint").alias("pos"), F.lit(9).alias("rank"), "forced")
     at = bounds.unionByName(begin)
-    near = Window.partitionBy(key).orderBy("pos").rangeBetween(-overlap, -1)
+    near = Window.partitionBy(key).orderBy("pos").rangeBetween(-overlap, -max(1, overlap // 2))
     at = at.select(key, "pos", "rank", "forced", F.when(F.col("pos") == 0, F.lit(0)).otherwise(F.coalesce(F.min(F.when(F.col("rank").between(2, 5), F.col("pos"))).over(near), F.greatest(F.lit(0), F.col("pos") - overlap))).cast("bigint").alias("start"))
     reach = F.explode(F.array(F.struct(F.col("pos").alias("x"), F.lit(0).alias("ask")), F.struct((F.col("start") + limit).alias("x"), F.lit(1).alias("ask"))))
     events = at.select("*", reach.alias("e")).select(key, "pos", "rank", "forced", "start", "e.x", "e.ask")

@@ -29,7 +29,7 @@ BUCKETS = 512
 def clean_id(c: str | Column) -> Column:
     """An id trimmed, in lower case."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.lower(F.regexp_replace(c, r"^[\s 　]+|[\s 　]+$", ""))
+    return F.lower(F.regexp_replace(c, r"^[\s\u00a0\u3000]+|[\s\u00a0\u3000]+$", ""))
 
 
 def clean_group(c: str) -> Column:
