@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.plans import records
+from lodestrand.plans import records, texts
 
-MODULES = [records]
+MODULES = [records, texts]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
