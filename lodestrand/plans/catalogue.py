@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.plans import records, texts
+from lodestrand.plans import graphs, records, scores, texts
 
-MODULES = [records, texts]
+MODULES = [records, texts, graphs, scores]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
