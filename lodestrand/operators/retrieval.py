@@ -41,7 +41,15 @@ def char_grams(c: str | Column, low: int = 2, high: int = 4) -> Column:
     """Character n-grams of each word with a space at either end, as often as they occur."""
     words = F.filter(F.split(normalize(c), " "), lambda w: w != "")
     padded = F.transform(words, lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
-    grams = [F.flatten(F.transform(padded, lambda w, n=n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, n))).otherwise(F.array().cast("array<string>")))) for n in range(low, high + 1)]
+
+    def of(n: int) -> Column:
+        def runs(w: Column) -> Column:
+            at = F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1)))
+            return F.when(F.length(w) >= n, F.transform(at, lambda i: F.substring(w, i, n))).otherwise(F.array().cast("array<string>"))
+
+        return F.flatten(F.transform(padded, runs))
+
+    grams = [of(n) for n in range(low, high + 1)]
     return F.concat(*grams)
 
 

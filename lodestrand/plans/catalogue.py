@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.plans import graphs, paths, records, scores, search, texts
+from lodestrand.plans import evaluation, graphs, paths, records, scores, search, texts
 
-MODULES = [records, texts, graphs, scores, paths, search]
+MODULES = [records, texts, graphs, scores, paths, search, evaluation]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
