@@ -146,7 +146,7 @@ def shred(df: DataFrame, key: str, column: str, leaves: list[Leaf]) -> DataFrame
                         continue
                     for c, x in zip(out, (k, path, rs, ds, vs)):
                         out[c].append(x)
-            yield pd.DataFrame(out)
+            yield pd.DataFrame({c: pd.Series(x, dtype=object) for c, x in out.items()})
 
     source = df.select(F.col(key).cast("string").alias("rec_id"), F.col(column).alias("body")).where("rec_id is not null and body is not null")
     return source.mapInPandas(run, "rec_id string, leaf string, rs array<int>, ds array<int>, vs array<string>")

@@ -69,7 +69,7 @@ def vector_by_label(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings")
     k = v.select(F.col("vec_id").alias("doc_id"), rv.unit_vector("embedding").alias("vec"))
     top = rv.cosine_top(k, k.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), 20)
-    return top.join(v.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id").groupBy("query_id", "label").agg(F.round(F.avg("score"), 5).alias("mean_score"), F.count("*").alias("n"))
+    return top.join(v.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id").groupBy("query_id", "label").agg(F.round(F.avg("score"), 10).alias("mean_score"), F.count("*").alias("n"))
 
 
 def industry_keyword_votes(spark: SparkSession, d: str) -> DataFrame:
@@ -165,7 +165,7 @@ SQL = {
     "rrf_classes": f"{_RRF} select query_id, doc_id, score, rank from fk",
     "hybrid_classes": f"{_RRF}, h as (select f.query_id, f.doc_id, round(f.score + {_JAC('q.text', 'c.text')} + case when {_JAC('q.text', 'c.title')} > 0.5 then 0.2 else 0 end, 6) as score from fk f join aq q using (query_id) join cl c using (doc_id)), hr as (select *, cast(row_number() over (partition by query_id order by score desc, doc_id) as integer) as rank from h) select * from hr where rank <= 5",
     "knn_similar": _KNN(5) + " select query_id, doc_id, round((1 + score) / 2, 5) as score, rank from k",
-    "vector_by_label": _KNN(20) + " select query_id, label, round(avg(score), 5) as mean_score, count(*) as n from k join embeddings e on e.vec_id = k.doc_id group by 1, 2",
+    "vector_by_label": _KNN(20) + " select query_id, label, round(avg(score), 10) as mean_score, count(*) as n from k join embeddings e on e.vec_id = k.doc_id group by 1, 2",
     "code_composition": r"with g as (select distinct full_code, regexp_replace(type_code, '\D', '', 'g') as t, regexp_replace(class_code, '\D', '', 'g') as c from gbt4754_codes where full_code is not null), p as (select full_code, case when t <> '' then 'WSA3' || lpad(right(t, 4), 4, '0') end as wsa, case when c <> '' then 'WSA3' || lpad(right(c, 4), 4, '0') end as cc from g) select full_code, wsa, case when wsa is not null and cc is not null then 'WSA10009-' || cc || '-' || wsa end as composed from p",
     "concept_merge": f"with {CTE['edges']}, {_MERGE} select rel, count(*) as edges, round(sum(weight), 5) as weight from g group by rel",
     "simple_weights": f"with {CTE['edges']}, {_MERGE} select least(src, dst) as a, greatest(src, dst) as b, round(sum(weight), 6) as weight from g group by 1, 2",
