@@ -5,7 +5,7 @@ for the context of the last n characters before a place it counts how often a un
 paragraph or the text's end) and how often it goes on. A value is cut off when, for the longest of its final contexts that
 the corpus knows, going on is likelier than ending by the log-odds threshold of its language and column.
 
-Digits count as one digit and the letters of codes as one letter. A text's own end is no evidence for itself, and copies of a
+Numbers count as one digit and capitals as one capital, so that parts of codes are like each other. A text's own end is no evidence for itself, and copies of a
 text count once. Null and blank texts are no cases.
 
 Contexts up to ``SHORT`` characters are counted for every place; longer ones only for places whose last ``ANCHOR``
@@ -42,7 +42,6 @@ _WIDE = "⺀-〿぀-ヿ㐀-鿿豈-﫿！-～"
 _WRAP_WIDE = re.compile(rf"(?<=[{_WIDE}，、；：（A-Za-z0-9])(?<![。！？”」])[^\S\n]*(?<!\n)\n(?!\n)(?![^\S\n]*(?:[-•*(（①-⑳]|\d{{1,3}}[.)、]))(?=[{_WIDE}])")
 _WRAP = re.compile(r"(?<=[^\s.!?。！？।…”\"»」:：])[^\S\n]*(?<!\n)\n(?!\n)(?![^\S\n]*(?:[-•*(（①-⑳]|\d{1,3}[.)][^\S\n]))")
 _WIDE_TEXT = re.compile(rf"[{_WIDE}]")
-_CODE = re.compile(r"(?<![A-Z])[A-Z]{2}(?=-9)")
 _MARKED = re.compile(r"[。！？।!?]|\.(?=\s|\Z)")
 _WIDE_MARKED = re.compile(r"[。！？]")
 _THAI = re.compile(r"[฀-๿]")
@@ -73,12 +72,15 @@ def guess(text: str) -> str:
 REMAINS = re.compile(r"(?:\s*(?:\[(?:more|cut|truncated|\.\.\.|…)\]|\((?:more|cut|truncated)\)|…+|\.{3,})|\ufffd+|&#?[0-9A-Za-z]{0,7}|<[/A-Za-z]{0,6}|\\u?[0-9a-fA-F]{0,3})\Z")
 
 
+_ONE_CAPITAL = str.maketrans("BCDEFGHIJKLMNOPQRSTUVWXYZ", "A" * 25)
+
+
 def plain(text: str) -> tuple[str, bool]:
-    """``text`` without the line breaks of its layout, numbers and codes as one, and whether it uses sentence marks."""
+    """``text`` without the line breaks of its layout, numbers and capitals as one, and whether it uses sentence marks."""
     t = text.replace("\r\n", "\n").strip()
     t = REMAINS.sub("", t).rstrip() or t
     t = re.sub(r"\d+", "9", t)
-    t = _CODE.sub("AA", t)
+    t = t.translate(_ONE_CAPITAL)
     thai = len(_THAI.findall(t[:400])) > 40
     wide = not thai and len(_WIDE_TEXT.findall(t[:400])) * 3 > len(t[:400])
     marked = not thai and bool((_WIDE_MARKED if wide else _MARKED).search(t))
@@ -133,7 +135,7 @@ def _batch(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[b
     return cp, last, label, [m for _, m in bodies]
 
 
-_ABBREVIATION = re.compile(r"(?<![A-Za-zÀ-ÿ9])(?:" + "|".join(sorted(map(re.escape, NEVER_END), key=len, reverse=True)) + r"|z\. ?B|d\. ?h|e\.g|i\.e)\.")
+_ABBREVIATION = re.compile(r"(?<![A-Za-zÀ-ÿ9])(?:" + "|".join(sorted({re.escape(w.translate(_ONE_CAPITAL)) for w in NEVER_END if len(w) > 1 or w.islower()}, key=len, reverse=True)) + r"|z\. ?A|d\. ?h|e\.g|i\.e)\.")
 _STOP = np.array(list(map(ord, ".!?…")), np.uint32)
 _WIDE_STOP = np.array(list(map(ord, "。！？।")), np.uint32)
 _OPEN = np.array(list(map(ord, "„«「『")), np.uint32)
