@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.session import fan_out
+
 # Private-use characters that stand for parts of the text while it is taken apart.
 _CUT, _END = "\ue000", "\ue002"
 #: A backslash and the character after it become one character of this block, so neither is taken for syntax.
@@ -69,6 +71,6 @@ def unpack_fields(df: DataFrame, tbl: str, key: str, fields: list[str]) -> DataF
 
     A key counts once, however often its row is repeated; of rows that share a key and differ, each distinct text counts.
     """
-    one = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("rec_id"), *fields).dropDuplicates()
+    one = fan_out(df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("rec_id"), *fields).dropDuplicates())
     stacked = one.select("rec_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("body")) for f in fields))).alias("x")).select("rec_id", "x.field", "x.body")
     return stacked.where(F.col("body").isNotNull()).select(F.lit(tbl).alias("tbl"), "rec_id", "field", F.posexplode(unpack(F.col("body"))).alias("p", "val")).select("tbl", "rec_id", "field", (F.col("p") + 1).alias("pos"), "val")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.operators.packed import unpack_fields
 from lodestrand.operators.shred import Leaf, assemble, kind_leaf, latest_version, shred
-from lodestrand.session import spread, table
+from lodestrand.session import fan_out, table
 
 #: The lists of each nested column.
 GROUPS = {
@@ -31,7 +31,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = []
     for tbl, groups in GROUPS.items():
         leaves = [kind_leaf(g) for g in groups]
-        levels = shred(spread(records(spark, sf_dir, tbl)), *KEYS[tbl], leaves)
+        levels = shred(fan_out(records(spark, sf_dir, tbl)), *KEYS[tbl], leaves)
         parts.append(assemble(levels, leaves).where("val = 'object'").select(F.lit(tbl).alias("tbl"), "rec_id", "parent_path", "path"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -47,7 +47,7 @@ def p3_chain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat table of ``chain_json`` edges with their fields and their link to the chain."""
     g = "edges[]"
     leaves = {"edge_id": Leaf(f"{g}.edge_id"), "relation": Leaf(f"{g}.relation"), "source_id": Leaf(f"{g}.source.id"), "target_id": Leaf(f"{g}.target.id"), "score": Leaf(f"{g}.score"), "kind": kind_leaf(g)}
-    levels = shred(spread(records(spark, sf_dir, "causal_chains")), *KEYS["causal_chains"], list(leaves.values()))
+    levels = shred(fan_out(records(spark, sf_dir, "causal_chains")), *KEYS["causal_chains"], list(leaves.values()))
     return _wide(levels, leaves).where("kind = 'object'").drop("kind").withColumn("score", F.col("score").try_cast("double"))
 
 
@@ -55,7 +55,7 @@ def p3_chain_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flat table of ``chain_json`` evidence spans with start, end and their link to the evidence."""
     g = "edges[].evidence[].spans[]"
     leaves = {"start": Leaf(f"{g}.start"), "end": Leaf(f"{g}.end"), "kind": kind_leaf(g)}
-    levels = shred(spread(records(spark, sf_dir, "causal_chains")), *KEYS["causal_chains"], list(leaves.values()))
+    levels = shred(fan_out(records(spark, sf_dir, "causal_chains")), *KEYS["causal_chains"], list(leaves.values()))
     return _wide(levels, leaves).where("kind = 'object'").select("rec_id", "parent_path", "path", F.col("start").try_cast("int").alias("start"), F.col("end").try_cast("int").alias("end"))
 
 

@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from lodestrand.operators import spans
 from lodestrand.operators.views import chunks, edges, with_
-from lodestrand.session import spread
+from lodestrand.session import fan_out
 
 
 def sentence_spans(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of at most 400 characters."""
-    return spans.span_table(spread(chunks(spark, d).select("evidence_id", "content")), "evidence_id", "content", spans.sentences)
+    return spans.span_table(fan_out(chunks(spark, d).select("evidence_id", "content")), "evidence_id", "content", spans.sentences)
 
 
 def paragraph_spans(spark: SparkSession, d: str) -> DataFrame:
     """Paragraphs of at most 1,200 characters."""
-    return spans.span_table(spread(chunks(spark, d).select("evidence_id", "content")), "evidence_id", "content", spans.paragraphs)
+    return spans.span_table(fan_out(chunks(spark, d).select("evidence_id", "content")), "evidence_id", "content", spans.paragraphs)
 
 
 def evidence_places(spark: SparkSession, d: str) -> DataFrame:

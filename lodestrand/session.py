@@ -54,11 +54,21 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def fan_out(df: DataFrame, per_core: int = 3) -> DataFrame:
+    """``df`` in as many tasks as there are shuffle partitions, and at least ``per_core`` a core.
+
+    For stages that compute long on rows that come out of an aggregation: adaptive execution joins small partitions by
+    their bytes, which leaves such a stage few tasks. Nothing is executed to find the number.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism * per_core, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def spread(df: DataFrame, per_core: int = 3, *keys: str) -> DataFrame:
     """``df`` in at least ``per_core`` partitions a core, for stages that compute long on each row.
 
-    A scan of many files already has that many splits and stays as it is; only a scan of few splits is shuffled,
-    which is then small.
+    ``df`` must be a scan without shuffles. One of many files already has that many splits and stays as it is; only a
+    scan of few splits is shuffled, which is then small.
     """
     want = max(df.sparkSession.sparkContext.defaultParallelism, 1) * per_core
     if df.rdd.getNumPartitions() >= want:
