@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.plans import evaluation, graphs, paths, records, scores, search, spanning, streams, texts
+from lodestrand.plans import building, evaluation, graphs, paths, records, scores, search, spanning, streams, texts
 
-MODULES = [records, texts, graphs, scores, paths, search, evaluation, spanning, streams]
+MODULES = [records, texts, graphs, scores, paths, search, evaluation, spanning, streams, building]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
