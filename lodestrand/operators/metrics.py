@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrand.operators.ordering import numbered
+
 
 def ratio(a: Column, b: Column) -> Column:
     """``a`` / ``b``, 0 where ``b`` is 0 or null."""
@@ -32,9 +34,7 @@ def by_probability(rows: DataFrame) -> DataFrame:
 
 def areas(rows: DataFrame) -> DataFrame:
     """Area under the ROC curve (ties count half) and average precision; null unless both classes occur."""
-    w = Window.orderBy(F.desc("prob"))
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    c = by_probability(rows).withColumns({"tp": F.sum("pos").over(so_far), "fp": F.sum("neg").over(so_far)})
+    c = numbered(by_probability(rows), [F.desc("prob")], sums=("pos", "neg")).withColumnsRenamed({"run_pos": "tp", "run_neg": "fp"})
     a = c.agg(F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2)).alias("u"), F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     both = (F.col("p") > 0) & (F.col("n") > 0)
     return a.select(F.when(both, F.round(F.col("u") / (F.col("p") * F.col("n")), 6)).alias("auroc"), F.when(both, F.round(F.col("ap") / F.col("p"), 6)).alias("aupr"))

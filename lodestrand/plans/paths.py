@@ -9,6 +9,7 @@ from lodestrand import lexicons as lx
 from lodestrand.functions import text as tx
 from lodestrand.operators import chains as ch
 from lodestrand.operators import scoring as sc
+from lodestrand.operators.ordering import numbered
 from lodestrand.operators.views import CTE, edges, nodes, units, with_
 from lodestrand.plans.scores import _BEST
 from lodestrand.session import table
@@ -85,7 +86,8 @@ def severity_rank(spark: SparkSession, d: str) -> DataFrame:
     hurt = {k: F.sum(tx.casualties("content", x[0]) + F.when(F.col("content").contains(x[0]), 1).otherwise(0)) for k, x in w.items()}
     g = u.groupBy("file_name").agg(*(v.alias(k) for k, v in hurt.items()))
     g = g.withColumn("severity", sum((w[k][1] * F.col(k) for k in ("serious", "light")), w["death"][1] * F.col("death")))
-    return g.select("file_name", "death", "serious", "light", "severity", F.rank().over(Window.orderBy(F.desc("severity"))).alias("rank"))
+    per = numbered(g.groupBy("severity").agg(F.count("*").alias("n")), [F.desc("severity")], sums=("n",)).select("severity", (F.col("run_n") - F.col("n") + 1).cast("int").alias("rank"))
+    return g.join(per, "severity").select("file_name", "death", "serious", "light", "severity", "rank")
 
 
 def node_first_prior(spark: SparkSession, d: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestrand.functions import text as tx
 from lodestrand.operators import grounding as gr
 from lodestrand.operators import retrieval as rv
+from lodestrand.operators.ordering import numbered
 from lodestrand.operators.packed import unpack_fields
 from lodestrand.operators.views import CTE, edges, units, with_
 from lodestrand.session import table
@@ -117,7 +118,8 @@ def concept_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     """Concepts (normalised node texts) with their line number from 0, and how many edges name them."""
     e = edges(spark, d)
     t = e.select(tx.normalize("source_text").alias("concept")).unionByName(e.select(tx.normalize("target_text").alias("concept"))).where("concept <> ''")
-    return t.groupBy("concept").agg(F.count("*").alias("n")).withColumn("id", F.row_number().over(Window.orderBy("concept")) - 1)
+    c = numbered(t.groupBy("concept").agg(F.count("*").alias("n")), ["concept"], "id")
+    return c.withColumn("id", F.col("id") - 1)
 
 
 def node_unit_support(spark: SparkSession, d: str) -> DataFrame:

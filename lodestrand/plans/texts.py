@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrand import lexicons as lx
 from lodestrand.functions import text as tx
+from lodestrand.operators.ordering import numbered
 from lodestrand.operators.views import chunks, edges, units, with_
 from lodestrand.session import table
 
@@ -118,7 +119,7 @@ def token_vocab(spark: SparkSession, d: str) -> DataFrame:
     """Words of at least five documents with their counts and rank."""
     w = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))).alias("w"))
     c = w.groupBy("w").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs")).where("docs >= 5")
-    return c.select("w", "n", "docs", F.row_number().over(Window.orderBy(F.desc("n"), "w")).alias("rank"))
+    return numbered(c, [F.desc("n"), "w"], "rank")
 
 
 def casualty_counts(spark: SparkSession, d: str) -> DataFrame:

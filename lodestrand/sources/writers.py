@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions.text import retrieval_tokens, split_name
+from lodestrand.operators.ordering import numbered
 
 
 def inverted_index(docs: DataFrame) -> DataFrame:
@@ -17,7 +18,8 @@ def inverted_index(docs: DataFrame) -> DataFrame:
 def graph_export(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Concepts and relations with ids from 0 in sorted order, and edges by id with the inverse of each (relation id plus
     the number of relations)."""
-    concepts = nodes.select(F.lower("name").alias("concept")).where("concept <> ''").distinct().withColumn("id", F.row_number().over(Window.orderBy("concept")) - 1)
+    concepts = nodes.select(F.lower("name").alias("concept")).where("concept <> ''").distinct()
+    concepts = numbered(concepts, ["concept"], "id").withColumn("id", F.col("id") - 1)
     rels = edges.select("rel").where("rel is not null").distinct().withColumn("rid", F.row_number().over(Window.orderBy("rel")) - 1)
     n = rels.agg(F.count("*").alias("n"))
     a, b = concepts.select(F.col("concept").alias("src"), F.col("id").alias("s")), concepts.select(F.col("concept").alias("dst"), F.col("id").alias("t"))
@@ -46,4 +48,4 @@ def label_package(labels: DataFrame, path: str) -> DataFrame:
 def vocabulary(docs: DataFrame, least: int) -> DataFrame:
     """Terms of at least ``least`` documents, the most frequent first, with their line number."""
     t = docs.select("doc_id", F.explode(retrieval_tokens("text")).alias("term")).groupBy("term").agg(F.count("*").alias("docs")).where(F.col("docs") >= least)
-    return t.withColumn("id", F.row_number().over(Window.orderBy(F.desc("docs"), "term")) - 1)
+    return numbered(t, [F.desc("docs"), "term"], "id").withColumn("id", F.col("id") - 1)
