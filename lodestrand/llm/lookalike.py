@@ -93,13 +93,30 @@ def char_class(chars) -> str:
     return "[" + "".join(parts) + "]"
 
 
+#: Ranges of the classes that only tell which texts to take apart; a wider class costs work, never a result.
+RANGES = 40
+
+
+def coarse_class(chars, ranges: int = RANGES) -> str:
+    """A class that holds ``chars``: the smallest gaps between them are filled until so few ranges are left that a match is quick."""
+    codes = sorted(map(ord, chars))
+    gaps = sorted(((b - a, a) for a, b in zip(codes, codes[1:]) if b - a > 1), reverse=True)
+    keep = {a for _, a in gaps[: ranges - 1]}
+    parts, begin = [], codes[0]
+    for a, b in zip(codes, [*codes[1:], None]):
+        if b is None or a in keep:
+            parts.append(f"\\x{{{begin:x}}}-\\x{{{a:x}}}")
+            begin = b
+    return "[" + "".join(parts) + "]"
+
+
 @lru_cache(maxsize=1)
 def _patterns() -> tuple[str, str]:
-    """Characters that change in any text; characters that make a text one with marks."""
+    """Coarse classes of the characters that change in any text and of those that make a text one with marks."""
     change, classes, _ = mappings()
     jamo = {chr(c) for c in range(0x1100, 0x1200)}
     marks = set(classes) | jamo | {c for c, (low, high, _) in change.items() if high and any(x in classes for x in high)}
-    return char_class(c for c, m in change.items() if m[2]), char_class(marks)
+    return coarse_class(c for c, m in change.items() if m[2]), coarse_class(marks, 3 * RANGES)
 
 
 def fingerprint(c: str | Column) -> Column:
