@@ -35,18 +35,40 @@ def infer_relation(text: str | Column, default: str = "UNK") -> Column:
     return out.otherwise(default)
 
 
-def lexical_units(edges: DataFrame, units: DataFrame, k: int = 5, least: float = 0.25) -> DataFrame:
+def naming_units(names: DataFrame, units: DataFrame) -> DataFrame:
+    """``file_name``, ``name``, ``unit_id`` for each name (``file_name``, ``name``) that a unit of its file contains, in any case and script.
+
+    Names and contents meet in an equi-join on file and character pair, by the pair of the name that the fewest units of the file
+    hold; a name of one character meets on that character. Empty names are in no unit.
+    """
+    cuts = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n))
+    nm = names.where("file_name is not null and name <> ''").distinct().withColumn("low", F.lower("name"))
+    u = units.where("file_name is not null and content <> ''").select("unit_id", "file_name", F.lower("content").alias("low"))
+    held = u.select("unit_id", "file_name", F.explode(F.array_distinct(F.concat(cuts(F.col("low"), 2), cuts(F.col("low"), 1)))).alias("g"))
+    count = held.groupBy("file_name", "g").agg(F.count("*").alias("n"))
+    asked = nm.select("file_name", "name", F.explode(F.array_distinct(cuts(F.col("low"), 2))).alias("g")).join(count, ["file_name", "g"], "left")
+    rare = asked.groupBy("file_name", "name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("x")).where("x.n > 0").select("file_name", "name", F.col("x.g").alias("g"))
+    met = rare.join(held, ["file_name", "g"]).select("file_name", "name", "unit_id")
+    return met.join(u.select("unit_id", "low"), "unit_id").where(F.col("low").contains(F.lower("name"))).select("file_name", "name", "unit_id").distinct()
+
+
+def lexical_units(edges: DataFrame, units: DataFrame, k: int = 5, least: float = 0.25, verbatim: bool = True) -> DataFrame:
     """The ``k`` units of an edge's file that name its ends best: edges have ``edge``, ``file_name``, ``source_text``,
     ``target_text``; units ``unit_id``, ``file_name``, ``content``.
 
-    Edges meet only the units of their file that share a token with an end, by an equi-join on file and token; a file that
-    holds a third of all rows is split by its tokens.
+    Edges meet the units of their file that share a token with an end, by an equi-join on file and token; a file that
+    holds a third of all rows is split by its tokens. With ``verbatim`` they also meet the units that contain an end without
+    sharing a token, so no unit that scores is left out.
     """
     from lodestrand.functions.text import label_tokens
 
     et = edges.select("edge", "file_name", F.explode(F.array_distinct(F.concat(label_tokens("source_text"), label_tokens("target_text")))).alias("t"))
     ut = units.where("content is not null").select("unit_id", "file_name", F.explode(F.array_distinct(label_tokens("content"))).alias("t"))
-    pairs = et.join(ut, ["file_name", "t"]).select("edge", "unit_id").distinct()
+    pairs = et.join(ut, ["file_name", "t"]).select("edge", "unit_id")
+    if verbatim:
+        ends = edges.select("edge", "file_name", F.col("source_text").alias("name")).unionByName(edges.select("edge", "file_name", F.col("target_text").alias("name")))
+        pairs = pairs.unionByName(ends.join(naming_units(ends.select("file_name", "name"), units), ["file_name", "name"]).select("edge", "unit_id"))
+    pairs = pairs.distinct()
     j = pairs.join(edges.select("edge", "source_text", "target_text"), "edge").join(units.select("unit_id", "content"), "unit_id")
     named = lambda c: F.when((F.coalesce(F.col(c), F.lit("")) != "") & F.lower("content").contains(F.lower(c)), 0.6).otherwise(0.0)
     s = j.select("edge", "unit_id", F.round(1.2 * overlap_min("source_text", "content") + 1.2 * overlap_min("target_text", "content") + named("source_text") + named("target_text"), 6).alias("score")).where(F.col("score") > least)

@@ -14,14 +14,23 @@ from lodestrand.plans.texts import any_sql
 from lodestrand import lexicons as lx
 
 
-def lexical_topk_units(spark: SparkSession, d: str) -> DataFrame:
-    """The five units of its file that name an edge's ends best, for each pair of texts of a file."""
+def _topk_units(spark: SparkSession, d: str, verbatim: bool) -> DataFrame:
     e = edges(spark, d).where("file_name is not null and source_text is not null and target_text is not null").select("file_name", "source_text", "target_text").distinct().withColumn("edge", ds.digest_id("e_", "file_name", "source_text", "target_text"))
     u = units(spark, d).select("unit_id", F.regexp_extract("parent_evidence_id", r"^[^|]*\|[^|]*\|([^|]*)", 1).alias("file_name"), "content")
-    top = ds.lexical_units(e, u).groupBy("edge").agg(F.count("*").alias("units"), F.max("score").alias("best"))
+    top = ds.lexical_units(e, u, verbatim=verbatim).groupBy("edge").agg(F.count("*").alias("units"), F.max("score").alias("best"))
     return e.join(top, "edge").select("file_name", "source_text", "target_text", "units", "best")
 
 
+def lexical_topk_units(spark: SparkSession, d: str) -> DataFrame:
+    """W08 as its SQL has it, among units that share a token with an end only; ``lexical_topk_all_units`` does the whole."""
+    return _topk_units(spark, d, False)
+
+
+def lexical_topk_all_units(spark: SparkSession, d: str) -> DataFrame:
+    """The five units of its file that name an edge's ends best, for each pair of texts of a file."""
+    return _topk_units(spark, d, True)
+
+
 def label_resolution(spark: SparkSession, d: str) -> DataFrame:
     """Labels of candidate pairs, from samples as gold, else from the single-task rules."""
     g = labels(spark, d).where("silver_edge_causal in (0, 1)").select(F.lower(F.trim("doc_id")).alias("doc"), F.col("source_node_id").alias("src"), F.col("target_node_id").alias("dst"), F.col("silver_edge_causal").alias("label"))
@@ -91,7 +100,7 @@ def label_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("doc").agg(F.count("*").alias("edges"), F.count_if(F.col("label") == 1).alias("strict"), F.sum("support_label").alias("support"), F.sum("support_mask").alias("masked"))
 
 
-QUERIES = {f.__name__: f for f in (lexical_topk_units, label_resolution, pair_subgraphs, relation_inference, best_evidence, graph_context, module_votes, fused_layers, twin_groups, label_pipeline)}
+QUERIES = {f.__name__: f for f in (lexical_topk_units, lexical_topk_all_units, label_resolution, pair_subgraphs, relation_inference, best_evidence, graph_context, module_votes, fused_layers, twin_groups, label_pipeline)}
 
 _OV = lambda a, b: f"(case when len({a}) = 0 or len({b}) = 0 then 0.0 else len(list_intersect({a}, {b})) / cast(least(len({a}), len({b})) as double) end)"
 _GATE_ALL = _GATE.replace("from ev)", "from (select *, evidence_text as evidence from edges where src is not null and dst is not null))", 1)
@@ -111,3 +120,5 @@ SQL = {
     "twin_groups": with_("labels") + " select lower(trim(twin_group_id)) as twin, count(*) as samples, count(distinct lower(trim(doc_id))) as docs, min(sample_id) as first_sample from labels where lower(trim(twin_group_id)) like 'twin::%' group by 1",
     "label_pipeline": f"{_PRE}, {_FEAT}, {_SINGLE}, {_MULTI.replace('from f)', f'from rl where doc is not null and not (src = dst or s = g or {_OVMIN} >= 0.95))', 1)} select doc, count(*) as edges, count(*) filter (where label = 1) as strict, sum(case when causal_label = 1 or causal_conf >= 0.55 then 1 else 0 end) as support, sum(case when causal_label = 1 or causal_conf >= 0.55 or causal_label = 0 then 1 else 0 end) as masked from m group by doc",
 }
+# Every unit of the file is a candidate here.
+SQL["lexical_topk_all_units"] = SQL["lexical_topk_units"].replace(" where len(list_intersect(list_concat(a, b), c)) > 0)", ")", 1)
