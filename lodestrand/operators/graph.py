@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +31,13 @@ def k_hop(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
     return reached
 
 
-def closure(edges: DataFrame, keys: list[str], depth: int) -> DataFrame:
-    """``keys``, ``src``, ``node``: everything reachable in up to ``depth`` directed steps; a node on a cycle reaches itself."""
+def closure(edges: DataFrame, keys: list[str], depth: int | None = None) -> DataFrame:
+    """``keys``, ``src``, ``node``: everything reachable in up to ``depth`` directed steps, in any number without one; a node on
+    a cycle reaches itself."""
     e = cut(edges.select(*keys, "src", "dst").where("src is not null and dst is not null").distinct())
     found = e.withColumnRenamed("dst", "node")
     frontier = found
-    for _ in range(depth - 1):
+    for _ in count() if depth is None else range(depth - 1):
         hop = e.withColumnRenamed("src", "mid").withColumnRenamed("dst", "node")
         nxt = frontier.withColumnRenamed("node", "mid").join(hop, [*keys, "mid"]).select(*keys, "src", "node").distinct()
         frontier = cut(nxt.join(found, [*keys, "src", "node"], "left_anti"))

@@ -1,7 +1,7 @@
 """Operators that must do the whole job: nothing is left out by a candidate rule, a depth or a length."""
 
 from conftest import rows
-from lodestrand.operators import datasets
+from lodestrand.operators import datasets, graph
 
 
 def test_lexical_units_named_verbatim(spark):
@@ -9,3 +9,11 @@ def test_lexical_units_named_verbatim(spark):
     u = spark.createDataFrame([("u1", "f", "现场出现物料倾泻情况"), ("u2", "g", "现场出现物料倾泻情况"), ("u3", "f", "aοδb"), ("u4", "f", None), ("u5", "f", "x-y")], "unit_id string, file_name string, content string")
     got = datasets.lexical_units(e, u).select("edge", "unit_id", "score")
     assert rows(got) == [("e1", "u1", 0.6), ("e2", "u1", 0.6), ("e2", "u5", 0.6), ("e3", "u3", 0.6)]
+
+
+def test_closure_without_depth(spark):
+    chain = [("g", f"n{i}", f"n{i + 1}") for i in range(7)]
+    e = spark.createDataFrame([*chain, ("g", "n7", "n5"), ("h", "n7", "n0"), ("h", None, "n1")], "g string, src string, dst string")
+    got = {(r["g"], r["src"], r["node"]) for r in graph.closure(e, ["g"]).collect()}
+    want = {("g", f"n{i}", f"n{j}") for i in range(8) for j in range(8) if i < j or min(i, j) >= 5} | {("h", "n7", "n0")}
+    assert got == want
