@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrand.functions.text import normalize
@@ -12,21 +12,29 @@ MERGED = {"LEADS_TO": "CAUSES", "RESULTS_IN": "CAUSES", "TRIGGERS": "CAUSES", "I
 REVERSED = {"PRECEDES": "FOLLOWS", "CAUSED_BY": "CAUSES"}
 
 
-def mentions(texts: DataFrame, key: str, column: str, terms: DataFrame, max_words: int = 6) -> DataFrame:
+def _words(c: str) -> Column:
+    return F.filter(F.split(F.regexp_replace(c, r"[^\p{L}\p{N}'/&+\-]+", " "), " "), lambda w: w != "")
+
+
+def mentions(texts: DataFrame, key: str, column: str, terms: DataFrame, max_words: int | None = None, small: bool = False) -> DataFrame:
     """``key``, ``term`` for every term (``term``, normalised) that is a run of words of a text, or, in CJK script,
     a run of characters. Texts are cut into runs that meet the terms in an equi-join, so texts and terms are never crossed.
+    Runs are as long as the longest term unless ``max_words`` says less; ``small`` terms are a list that does not grow.
     """
     t = texts.where(F.col(key).isNotNull()).select(key, normalize(column).alias("x")).distinct()
-    words = F.filter(F.split(F.regexp_replace("x", r"[^\p{L}\p{N}'/&+\-]+", " "), " "), lambda w: w != "")
+    sent = F.broadcast if small else lambda x: x
+    known = terms.select("term", _words("term").alias("tw")).distinct()
+    longest = known.agg(F.coalesce(F.max(F.size("tw")), F.lit(1)).alias("most")) if max_words is None else texts.sparkSession.range(1).select(F.lit(max_words).alias("most"))
     n = F.size("ws")
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.lit(max_words), n - i + 1), F.lit(1))), lambda k: F.array_join(F.slice("ws", i, k), " "))))
-    latin = t.select(key, words.alias("ws")).where(n > 0).select(key, F.explode(F.array_distinct(runs)).alias("term"))
-    wide = terms.where(F.col("term").rlike(r"[\x{4e00}-\x{9fff}]")).select("term", F.length("term").alias("n"))
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.col("most"), n - i + 1), F.lit(1))), lambda k: F.array_join(F.slice("ws", i, k), " "))))
+    latin = t.select(key, _words("x").alias("ws")).where(n > 0).join(F.broadcast(longest)).select(key, F.explode(F.array_distinct(runs)).alias("run"))
+    latin = latin.join(sent(known.select("term", F.array_join("tw", " ").alias("run"))), "run").select(key, "term")
+    wide = known.where(F.col("term").rlike(r"[\x{4e00}-\x{9fff}]")).select("term", F.length("term").alias("n"))
     sizes = wide.select("n").distinct()
     spans = t.where(F.col("x").rlike(r"[\x{4e00}-\x{9fff}]")).join(F.broadcast(sizes.agg(F.collect_set("n").alias("ns"))))
     cut = F.flatten(F.transform("ns", lambda k: F.when(F.length("x") >= k, F.transform(F.sequence(F.lit(1), F.greatest(F.length("x") - k + 1, F.lit(1))), lambda i: F.substring(F.col("x"), i, k))).otherwise(F.array().cast("array<string>"))))
-    cjk = spans.select(key, F.explode(F.array_distinct(cut)).alias("term"))
-    return latin.unionByName(cjk).join(terms.select("term").distinct(), "term").select(key, "term").distinct()
+    cjk = spans.select(key, F.explode(F.array_distinct(cut)).alias("term")).join(sent(wide.select("term")), "term").select(key, "term")
+    return latin.unionByName(cjk).distinct()
 
 
 def merge_relations(edges: DataFrame) -> DataFrame:

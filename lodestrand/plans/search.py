@@ -73,16 +73,37 @@ def vector_by_label(spark: SparkSession, d: str) -> DataFrame:
     return top.join(v.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id").groupBy("query_id", "label").agg(F.round(F.avg("score"), 10).alias("mean_score"), F.count("*").alias("n"))
 
 
-def industry_keyword_votes(spark: SparkSession, d: str) -> DataFrame:
-    """Class of each asked name by what it mentions: full name 2.2, class name 1.8, alias 1.2 each; the best, with its section."""
-    g = table(spark, d, "gbt4754_codes")
+def exact_codes(texts: DataFrame, key: str, column: str, codes: DataFrame) -> DataFrame:
+    """``key``, ``full_code`` of each code (``full_code``, ``type_code``) that is a run of two to five letters and digits of a text, in
+    any case; a run that is no full code counts by its digits as a type code."""
+    tok = F.explode(F.array_distinct(F.regexp_extract_all(F.upper(column), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))))
+    t = texts.where(F.col(column).isNotNull()).select(key, tok.alias("tok")).where(F.length("tok").between(2, 5) & F.col("tok").rlike(r"\p{Nd}"))
+    g = codes.where("full_code is not null").select("full_code", "type_code").distinct()
+    full = t.join(F.broadcast(g.select(F.upper("full_code").alias("tok"), "full_code")), "tok", "left")
+    kind = g.where("type_code <> ''").groupBy(F.col("type_code").alias("digits")).agg(F.max("full_code").alias("other"))
+    j = full.withColumn("digits", F.regexp_replace("tok", r"\P{Nd}", "")).join(F.broadcast(kind), "digits", "left")
+    return j.select(key, F.coalesce("full_code", "other").alias("full_code")).where("full_code is not null").distinct()
+
+
+def votes_of(entries: DataFrame, g: DataFrame) -> DataFrame:
+    """The best class of each entry (``query_id``, ``text``), with its section, from the table of classes: full name 2.2,
+    class name 1.8, alias 1.2 and keyword .35 each; a class whose code the entry has counts 3.0 and nothing else, as in the reference."""
     w = g.select(tx.normalize("full_name").alias("term"), "full_code", F.lit(2.2).alias("w")).unionByName(g.select(tx.normalize("class_name").alias("term"), "full_code", F.lit(1.8).alias("w")))
-    al = unpack_fields(g, "gbt4754_codes", "full_code", ["aliases"]).select(tx.normalize("val").alias("term"), F.col("rec_id").alias("full_code"), F.lit(1.2).alias("w"))
+    packed = unpack_fields(g, "gbt4754_codes", "full_code", ["aliases", "keywords"])
+    al = packed.select(tx.normalize("val").alias("term"), F.col("rec_id").alias("full_code"), F.when(F.col("field") == "aliases", 1.2).otherwise(0.35).alias("w"))
     w = w.unionByName(al).where("term <> ''").distinct()
-    m = gr.mentions(asked(spark, d), "query_id", "text", w)
-    s = m.join(w, "term").groupBy("query_id", "full_code").agg(F.round(F.sum("w"), 6).alias("score"))
+    m = gr.mentions(entries, "query_id", "text", w, small=True)
+    named = m.join(F.broadcast(w), "term").groupBy("query_id", "full_code").agg(F.sum("w").alias("s"))
+    coded = exact_codes(entries, "query_id", "text", g).withColumn("exact", F.lit(3.0))
+    s = named.join(coded, ["query_id", "full_code"], "full").select("query_id", "full_code", F.round(F.coalesce("exact", "s"), 6).alias("score"))
     rn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "full_code"))
-    return s.withColumn("rn", rn).where("rn = 1").join(g.select("full_code", "section_code").distinct(), "full_code").select("query_id", "full_code", "section_code", "score")
+    return s.withColumn("rn", rn).where("rn = 1").join(F.broadcast(g.select("full_code", "section_code").distinct()), "full_code").select("query_id", "full_code", "section_code", "score")
+
+
+def industry_keyword_votes(spark: SparkSession, d: str) -> DataFrame:
+    """Class of every entry by what its name mentions; entries that mention nothing have no row."""
+    m = table(spark, d, "gb6441_industry_map").where("industry_name is not null")
+    return votes_of(m.select(F.col("entry_id").alias("query_id"), F.col("industry_name").alias("text")).distinct(), table(spark, d, "gbt4754_codes"))
 
 
 def code_composition(spark: SparkSession, d: str) -> DataFrame:

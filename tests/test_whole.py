@@ -1,7 +1,8 @@
 """Operators that must do the whole job: nothing is left out by a candidate rule, a depth or a length."""
 
 from conftest import rows
-from lodestrand.operators import datasets, graph
+from lodestrand.operators import datasets, graph, grounding
+from lodestrand.plans import search
 
 
 def test_lexical_units_named_verbatim(spark):
@@ -17,3 +18,15 @@ def test_closure_without_depth(spark):
     got = {(r["g"], r["src"], r["node"]) for r in graph.closure(e, ["g"]).collect()}
     want = {("g", f"n{i}", f"n{j}") for i in range(8) for j in range(8) if i < j or min(i, j) >= 5} | {("h", "n7", "n0")}
     assert got == want
+
+
+def test_mentions_of_long_and_punctuated_terms(spark):
+    t = spark.createDataFrame([(1, 'Rattan cane dry works 24" line'), (2, "a b c d e f g h")], "k int, x string")
+    terms = spark.createDataFrame([('rattan cane dry works 24" line',), ("b c d e f g h",)], "term string")
+    assert rows(grounding.mentions(t, "k", "x", terms)) == [(1, 'rattan cane dry works 24" line'), (2, "b c d e f g h")]
+
+
+def test_votes_by_keyword_and_code(spark):
+    g = spark.createDataFrame([("U8111", "8111", "U", "hop works", "hop", '["kelp"]', "['kiln', 'oven']"), ("V8112", "8112", "V", "ice works", "ice", None, "oven")], "full_code string, type_code string, section_code string, full_name string, class_name string, aliases string, keywords string")
+    e = spark.createDataFrame([(1, "the oven and kiln"), (2, "ice 8111"), (3, "hop works (u8111)"), (4, "oven"), (5, "kelp"), (6, "24 x"), (7, "X8112")], "query_id int, text string")
+    assert rows(search.votes_of(e, g)) == [(1, "U8111", "U", 0.7), (2, "U8111", "U", 3.0), (3, "U8111", "U", 3.0), (4, "U8111", "U", 0.35), (5, "U8111", "U", 1.2), (7, "V8112", "V", 3.0)]
