@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm.sentences import split_sentences
+from lodestrand.llm.sentences import sentence_spans, split_sentences
 from lodestrand.operators.shred import latest_version
 from lodestrand.session import fan_out, table
 
 
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fan_out(latest_version(table(spark, sf_dir, "evidence_chunks"), "evidence_id", "updated_at", "content"))
+
+
 def p7_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences with their kind: ``evidence_id``, ``start_char``, ``end_char``, ``kind``, ``content``."""
-    chunks = latest_version(table(spark, sf_dir, "evidence_chunks"), "evidence_id", "updated_at", "content")
-    return split_sentences(fan_out(chunks), "evidence_id", "content")
+    return split_sentences(_chunks(spark, sf_dir), "evidence_id", "content")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence spans: ``evidence_id``, ``start_char``, ``end_char``."""
-    return p7_sentences(spark, sf_dir).select("evidence_id", "start_char", "end_char")
+    return sentence_spans(_chunks(spark, sf_dir), "evidence_id", "content")
 
 
 def p7_unit_check(spark: SparkSession, sf_dir: str) -> DataFrame:

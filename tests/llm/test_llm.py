@@ -11,6 +11,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import sentence_oracle
+
 from lodestrand.llm import canonical, lookalike, packing, pieces, sentences, splits, tokens, truncation
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists("/opt/tokenizers/byte_bpe_50k.tiktoken"), reason="no vocabulary files")
@@ -207,28 +209,30 @@ TEXTS = {
 
 @pytest.mark.parametrize("text", list(TEXTS))
 def test_sentence_counts(text):
-    spans, _, _ = sentences.read(text, sentences.opening_state(text), sentences.marked_scripts(text))
+    spans = sentence_oracle.spans(text)
     assert len(spans) == TEXTS[text], [text[a:b] for a, b in spans]
     assert all(text[a:b] == text[a:b].strip() for a, b in spans)
 
 
-def test_long_text_by_segments(spark, monkeypatch):
-    """A text of many segments gives the sentences it gives as one."""
-    part = list(TEXTS)[0] + "\n\n" + list(TEXTS)[6] + "\n" + list(TEXTS)[1] + " "
-    text = part * 400
-    df = spark.createDataFrame([(1, text, "x"), (2, None, "x"), (3, "", "x"), (None, "A b.", "x")], "k int, t string, id string")
-    got = rows(sentences.split_sentences(df, "k", "t").select("start_char", "end_char"))
-    assert len(text) > 2 * sentences.SEGMENT
-    assert got == sorted(sentences.read(text, sentences.opening_state(text), sentences.marked_scripts(text))[0])
+def test_sentences_equal_the_sequential_reader_whatever_the_segment(spark):
+    """Every column, kind included, of texts of many shapes, with segments of one event, of a few, and longer than any text."""
+    rng = np.random.default_rng(7)
+    parts = [t for t in TEXTS if t.strip()] + ["1. one\n2. two", "12. Mai war es", "- item one\n- item two", "\n\n", "\n", " ", "(一) 概况", "“", "”", '"', "A'b c", "3.5", "e.g.", "\0"]
+    texts = ["".join(p + rng.choice(["\n\n", "\n", " ", ""]) for p in rng.choice(parts, rng.integers(1, 12))) for _ in range(150)] + [None, "", " \n ", ("".join(list(TEXTS)[:6]) + "\n\n") * 60]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, "A b.", "x")], "k int, t string, id string")
+    want = sorted((i, s, e, sentences.kind_of(t[s:e], sentences._alone(t, s, e)), t[s:e]) for i, t in enumerate(texts) if t for s, e in sentence_oracle.spans(t.replace("\0", "\ufffd")))
+    for segment in (1, 7, 1 << 20):
+        assert rows(sentences.split_sentences(df, "k", "t", segment)) == want
+    assert sentences.sentence_spans(df.limit(0), "k", "t").count() == 0
 
 
 def test_functions_compose():
     text = list(TEXTS)[6] * 3
-    marks = sentences.marked_scripts(text)
-    whole = sentences.leaving(text, marks, False)
-    at = text.index("“门")
-    a, b = sentences.leaving(text[:at], marks, False), sentences.leaving(text[at:], marks, True)
-    assert [b[s] for s in a] == whole
+    _, cls, *_ = sentences.lex([text])
+    whole = sentences.functions(cls, np.array([0, len(cls)]))[0]
+    for at in range(1, len(cls)):
+        a, b = sentences.functions(cls, np.array([0, at, len(cls)]))
+        assert list(b[a]) == list(whole)
 
 
 # --- tokens and containers
