@@ -5,17 +5,23 @@ for the context of the last n characters before a place it counts how often a un
 paragraph or the text's end) and how often it goes on. A value is cut off when, for the longest of its final contexts that
 the corpus knows, going on is likelier than ending by the log-odds threshold of its language and column.
 
-Numbers count as one digit and capitals as one capital, so that parts of codes are like each other. A text's own end is no evidence for itself, and copies of a
-text count once. Null and blank texts are no cases.
+Numbers count as one digit and capitals as one capital, so that parts of codes are like each other. A text's own end is no
+evidence for itself, and copies of a text count once. Null and blank texts are no cases. Script, language and marks of a
+text are decided by the whole of it.
 
-Contexts up to ``SHORT`` characters are counted for every place; longer ones only for places whose last ``ANCHOR``
-characters may end some text, which a Bloom filter of fixed size tells; its false hits cost rows, never a count.
+Contexts of up to 5 characters are counted for every place; longer ones only for places whose last ``ANCHOR`` characters
+may end some text, which a Bloom filter tells. Its size follows the number of texts up to ``MOST_BITS``; a fuller filter
+lets more rows through and never changes a count.
+
+The threshold of a language is fitted to the column: of the log-odds near 0 the one that the fewest of its texts are near,
+so that it lies in the valley between complete and cut texts; of equals the one nearest 0. ``THRESHOLDS`` overrides it.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,22 +35,24 @@ from lodestrand.session import cut
 #: count as evidence (a shorter context would be taught by the cut ends themselves). One more context is the whole last line.
 LENGTHS = (1, 2, 3, 5, 8, 12, 18, 28)
 ANCHOR, OWN, LINE = 8, 12, 64
+# A text's last line is a context as a whole, however long it is; ``LINE`` is the length it is reported with.
 #: Ends of so many other texts count for the contexts from OWN_SHORT on that are shorter than OWN.
 OWN_SHORT, OWN_LEAST = 5, 3
-#: Bits of the Bloom filter (a power of two) and hashes of an entry.
-BLOOM_BITS, BLOOM_HASHES = 1 << 24, 2
-#: Log-odds a text must reach to count as complete, by (column, language); others have DEFAULT_THRESHOLD.
+#: Bits of the Bloom filter an entry, at least and at most so many (powers of two), and hashes of an entry.
+ENTRY_BITS, LEAST_BITS, MOST_BITS, BLOOM_HASHES = 16, 1 << 20, 1 << 28, 2
+#: Log-odds a text must reach to count as complete, by (column, language), where the fitted ones are not wanted.
 THRESHOLDS: dict[tuple[str, str], float] = {}
-DEFAULT_THRESHOLD = 0.0
+#: A threshold is one of the middles of bins this wide, no farther from 0 than REACH.
+BIN, REACH = 0.25, 1.0
 SMOOTH = 0.25
 
 _WIDE = "⺀-〿぀-ヿ㐀-鿿豈-﫿！-～"
 _WRAP_WIDE = re.compile(rf"(?<=[{_WIDE}，、；：（A-Za-z0-9])(?<![。！？”」])[^\S\n]*(?<!\n)\n(?!\n)(?![^\S\n]*(?:[-•*(（①-⑳]|\d{{1,3}}[.)、]))(?=[{_WIDE}])")
 _WRAP = re.compile(r"(?<=[^\s.!?。！？।…”\"»」:：])[^\S\n]*(?<!\n)\n(?!\n)(?![^\S\n]*(?:[-•*(（①-⑳]|\d{1,3}[.)][^\S\n]))")
-_WIDE_TEXT = re.compile(rf"[{_WIDE}]")
+_WIDE_TEXT = re.compile(rf"[{_WIDE}]+")
 _MARKED = re.compile(r"[。！？।!?]|\.(?=\s|\Z)")
 _WIDE_MARKED = re.compile(r"[。！？]")
-_THAI = re.compile(r"[฀-๿]")
+_THAI = re.compile(r"[฀-๿]+")
 _LOOSE = re.compile(r"(?<=[฀-๿⺀-鿿）”])[ 　]+(?=[฀-๿⺀-鿿（“0-9])|(?<=[0-9])[ 　]+(?=[฀-๿])")
 
 
@@ -59,11 +67,10 @@ def language(c: str = "lang"):
 
 def guess(text: str) -> str:
     """A language for a text without one, by script and frequent words."""
-    head = text[:2000]
-    for pattern, g in ((r"[฀-๿]", "th"), (r"[ऀ-ॣ]", "hi"), (r"[぀-ヿ]", "ja"), (r"[一-鿿]", "zh")):
-        if len(re.findall(pattern, head)) * 8 > len(head):
+    for pattern, g in ((r"[฀-๿]+", "th"), (r"[ऀ-ॣ]+", "hi"), (r"[぀-ヿ]+", "ja"), (r"[一-鿿]+", "zh")):
+        if sum(map(len, re.findall(pattern, text))) * 8 > len(text):
             return g
-    words = re.findall(r"[a-zà-ÿ]+", head.lower())
+    words = re.findall(r"[a-zà-ÿ]+", text.lower())
     counts = {g: sum(w in set(f.split()) for w in words) for g, f in FREQUENT.items()}
     return max(counts, key=lambda g: counts[g]) if any(counts.values()) else ""
 
@@ -80,9 +87,9 @@ def plain(text: str) -> tuple[str, bool]:
     t = text.replace("\r\n", "\n").strip()
     t = REMAINS.sub("", t).rstrip() or t
     t = re.sub(r"\d+", "9", t)
-    t = t.translate(_ONE_CAPITAL)
-    thai = len(_THAI.findall(t[:400])) > 40
-    wide = not thai and len(_WIDE_TEXT.findall(t[:400])) * 3 > len(t[:400])
+    t = re.sub(r"[B-Z]", "A", t)
+    thai = sum(map(len, _THAI.findall(t))) * 10 > len(t)
+    wide = not thai and sum(map(len, _WIDE_TEXT.findall(t))) * 3 > len(t)
     marked = not thai and bool((_WIDE_MARKED if wide else _MARKED).search(t))
     if marked:
         t = _WRAP_WIDE.sub("", t) if wide else _WRAP.sub(" ", t)
@@ -92,25 +99,25 @@ def plain(text: str) -> tuple[str, bool]:
     return re.sub(r"[^\S\n]+", " ", t), marked
 
 
-def _batch(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bool]]:
-    """Code points of all texts with gaps of zeros between, the place of each text's last character, each place's label (1
-    ends, 0 goes on, -1 is no evidence), and which texts use sentence marks."""
+def _lay(bodies: list[str], seeds: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all plain texts with gaps of zeros between, the place of each text's last character and each place's seed."""
     gap = LENGTHS[-1]
-    bodies = [plain(t) for t in texts]
-    total = sum(len(t) + gap for t, _ in bodies) + gap + 2
-    cp = np.zeros(total, np.uint32)
-    last = np.zeros(len(texts), np.int64)
-    marked, low_quote, short = np.zeros(total, bool), np.zeros(total, bool), np.zeros(total, bool)
-    at = gap
-    for i, (t, m) in enumerate(bodies):
-        n = len(t)
-        cp[at : at + n] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-        marked[at : at + n] = m
-        low_quote[at : at + n] = "„" in t
+    joined = "\0" * gap + ("\0" * gap).join(bodies) + "\0" * gap
+    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, bodies), np.int64, len(bodies)) + gap
+    last = np.cumsum(sizes) - 1
+    return cp, last, np.concatenate([np.repeat(np.array(seeds, np.uint64), sizes), np.zeros(gap, np.uint64)])
+
+
+def _labels(cp: np.ndarray, last: np.ndarray, bodies: list[str], marks: list[bool]) -> np.ndarray:
+    """Each place's label: 1 a unit ends there, 0 it goes on, -1 it is no evidence; a text's own end is none."""
+    total = len(cp)
+    sizes = np.diff(np.concatenate([[-1], last]))
+    spread = lambda x: np.concatenate([np.repeat(np.array(x, bool), sizes), np.zeros(total - int(sizes.sum()), bool)])
+    marked, low_quote, short = spread(marks), spread(["„" in t for t in bodies]), np.zeros(total, bool)
+    for t, e in zip(bodies, last):
         for x in _ABBREVIATION.finditer(t):
-            short[at + x.end() - 1] = True
-        last[i] = at + n - 1
-        at += n + gap
+            short[e - len(t) + x.end()] = True
     nxt, nxt2 = np.concatenate([cp[1:], [0]]), np.concatenate([cp[2:], [0, 0]])
     brk = (cp == 10) | (cp == 0)
     # inside a quotation: opened more often than closed since the line began
@@ -132,7 +139,8 @@ def _batch(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[b
     label[stop & np.isin(nxt, _BEGIN) & ~np.isin(nxt, _DIGIT)] = -1
     label[within & np.isin(cp, _WIDE_STOP) & ~quoted & ~np.isin(nxt, _CLOSE)] = 1
     label[within & (closes | (cp == 34)) & ~quoted & np.isin(np.concatenate([[0], cp[:-1]]), np.concatenate([_STOP, _WIDE_STOP]))] = -1
-    return cp, last, label, [m for _, m in bodies]
+    label[last] = -1  # it is counted with the final contexts
+    return label
 
 
 _ABBREVIATION = re.compile(r"(?<![A-Za-zÀ-ÿ9])(?:" + "|".join(sorted({re.escape(w.translate(_ONE_CAPITAL)) for w in NEVER_END if len(w) > 1 or w.islower()}, key=len, reverse=True)) + r"|z\. ?A|d\. ?h|e\.g|i\.e)\.")
@@ -142,7 +150,9 @@ _OPEN = np.array(list(map(ord, "„«「『")), np.uint32)
 _CLOSE = np.array(list(map(ord, "”»」』")), np.uint32)
 _DIGIT = np.array([ord("9")], np.uint32)
 _BEGIN = np.array([*range(65, 91), *range(0xC0, 0xDF), ord("9"), 34, 0x201C, 0x201E, 0xAB], np.uint32)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_LINE_ENDS = np.concatenate([_STOP, _WIDE_STOP, _CLOSE, [34]]).astype(np.uint32)
+_BASE = 0x9E3779B97F4A7C15
+_UNBASE = pow(_BASE, -1, 1 << 64)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -151,48 +161,46 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _hashes(cp: np.ndarray, seed: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
-    """Length and hash of the context that ends at each place, for each length; last, with length 0, the hash of the line up
-    to each place and which places have one (of lines up to ``LINE`` characters)."""
-    h = np.zeros(len(cp), np.uint64)
-    line, has = np.zeros(len(cp), np.uint64), np.zeros(len(cp), bool)
-    first = (cp == 10) | (cp == 0)
-    code = np.where(first, 0, cp.astype(np.uint64) + np.uint64(1)).astype(np.uint64)
-    # a line that ends with a mark is the same in any text, another one only in texts of its style
-    style = np.where(np.isin(cp, np.concatenate([_STOP, _WIDE_STOP, _CLOSE, [34]])), 2, seed & np.uint64(1)).astype(np.uint64)
-    power = 1
-    for k in range(LINE + 1):
-        size = len(cp) - k
-        new = first[:size] & ~has[k:] & ~first[k:]
-        if k:
-            where = np.flatnonzero(new) + k
-            line[where] = _mix(h[where] ^ _mix(style[where] + np.uint64(1000)))
-            has[where] = True
-        if k < LENGTHS[-1] or not has.all():
-            h[k:] += code[:size] * np.uint64(power)
-        power = power * int(_BASE) % (1 << 64)
-        if k + 1 in LENGTHS:
-            yield k + 1, _mix(h ^ _mix(seed + np.uint64(k + 1))), None
-    yield 0, line, has
+@lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> np.ndarray:
+    """``base`` to the powers 0 to n - 1, modulo 2**64."""
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
-def _seed(lang: str, marked: bool) -> int:
-    return sum(ord(c) << (16 * i) for i, c in enumerate(lang[:2])) * 2 + int(marked)
+class _Contexts:
+    """The hashes of the contexts that end at given places of a batch.
+
+    The hash of a stretch is the difference of two running sums of codes times powers of an odd base, divided by the power
+    of its last place, so a context of any length, a whole line too, costs the same.
+    """
+
+    def __init__(self, cp: np.ndarray, seed: np.ndarray):
+        n = 1 << int(len(cp)).bit_length()
+        self.cp, self.seed, self.first = cp, seed, (cp == 10) | (cp == 0)
+        code = np.where(self.first, np.uint64(0), _mix(cp.astype(np.uint64) + np.uint64(1)))
+        self.total = np.cumsum(code * _powers(_BASE, n)[: len(cp)], dtype=np.uint64)
+        self.undo = _powers(_UNBASE, n)
 
+    def last(self, k: int, at: np.ndarray) -> np.ndarray:
+        """Of the last ``k`` characters."""
+        return _mix((self.total[at] - self.total[at - k]) * self.undo[at] ^ _mix(self.seed[at] + np.uint64(k)))
 
-def _bloom_places(h: np.ndarray) -> np.ndarray:
-    return np.stack([(h >> np.uint64(20 * i)) & np.uint64(BLOOM_BITS - 1) for i in range(BLOOM_HASHES)])
+    def line(self, at: np.ndarray) -> np.ndarray:
+        """Of the line so far. One that ends with a mark is the same in any text, another only in texts of its style."""
+        style = np.where(np.isin(self.cp[at], _LINE_ENDS), np.uint64(2), self.seed[at] & np.uint64(1))
+        breaks = np.flatnonzero(self.first)
+        begin = breaks[np.searchsorted(breaks, at, "right") - 1]
+        return _mix((self.total[at] - self.total[begin]) * self.undo[at] ^ _mix(style + np.uint64(1000)))
 
 
-def _prepare(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    texts, langs = b.column("text").to_pylist(), b.column("lang").to_pylist()
-    cp, last, label, marks = _batch(texts)
-    seeds = np.zeros(len(cp), np.uint64)
-    begin = 0
-    for t, g, m, e in zip(texts, langs, marks, last):
-        seeds[begin : e + 1] = _seed(g or guess(t), m)
-        begin = e + 1
-    return cp, last, label, seeds
+def _seed(lang: str, marked: bool) -> int:
+    return sum(ord(c) << (16 * i) for i, c in enumerate(lang[:2])) * 2 + int(marked)
+
+
+def _bloom_places(h: np.ndarray, bits: int) -> np.ndarray:
+    return np.stack([(h >> np.uint64(28 * i)) & np.uint64(bits - 1) for i in range(BLOOM_HASHES)])
 
 
 #: Index of the line context among a text's final contexts: it is the most telling.
@@ -200,13 +208,16 @@ _AT_LINE = len(LENGTHS)
 
 
 def _finals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hashes of each text's final contexts, the line last (0 where the last line is too long)."""
+    """The plain form of each text, its seed, whether it uses sentence marks, and the hashes of its final contexts, the line last."""
     for b in _small(batches):
-        cp, last, _, seeds = _prepare(b)
-        hs = [(np.where(has[last], h[last], np.uint64(0)) if has is not None else h[last]).view(np.int64) for _, h, has in _hashes(cp, seeds)]
-        flat = np.stack(hs, axis=1).ravel()
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(hs)), pa.int32()), pa.array(flat))
-        yield pa.RecordBatch.from_arrays([b.column("t"), lists], names=["t", "hs"])
+        forms = [plain(t) for t in b.column("text").to_pylist()]
+        bodies, marks = [t for t, _ in forms], [m for _, m in forms]
+        seeds = [_seed(g or guess(t.as_py()), m) for g, t, m in zip(b.column("lang").to_pylist(), b.column("text"), marks)]
+        cp, last, seed = _lay(bodies, seeds)
+        at = _Contexts(cp, seed)
+        hs = np.stack([*(at.last(k, last) for k in LENGTHS), at.line(last)], axis=1).view(np.int64).ravel()
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(hs) + 1, len(LENGTHS) + 1), pa.int32()), pa.array(hs))
+        yield pa.RecordBatch.from_arrays([b.column("t"), b.column("u"), lists, pa.array(bodies), pa.array(np.array(seeds, np.uint64).view(np.int64)), pa.array(marks)], names=["t", "u", "hs", "text", "seed", "marked"])
 
 
 def _small(batches: Iterable[pa.RecordBatch], chars: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -226,25 +237,25 @@ def _small(batches: Iterable[pa.RecordBatch], chars: int = 1 << 20) -> Iterator[
 def _counter(bloom: np.ndarray):
     def passes(h: np.ndarray) -> np.ndarray:
         ok = np.ones(len(h), bool)
-        for place in _bloom_places(h):
+        for place in _bloom_places(h, 8 * len(bloom)):
             ok &= (bloom[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
         return ok
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _small(batches):
-            cp, last, label, seeds = _prepare(b)
-            label[last] = -1  # a text's own end is counted with the final contexts
+            bodies = b.column("text").to_pylist()
+            cp, last, seed = _lay(bodies, b.column("seed").to_numpy().view(np.uint64))
+            label = _labels(cp, last, bodies, b.column("marked").to_pylist())
+            at = _Contexts(cp, seed)
             places = np.flatnonzero(label >= 0)
+            anchors = at.last(ANCHOR, places)
+            near = places[passes(anchors)]
+            lines = at.line(places)
+            lined = passes(lines)
+            parts = [(at.last(k, places if k < ANCHOR else near), places if k < ANCHOR else near) for k in LENGTHS] + [(lines[lined], places[lined])]
             keys, ends, goes = [], [], []
-            for n, h, has in _hashes(cp, seeds):
-                if n == ANCHOR:
-                    near = places[passes(h[places])]
-                if n == 0:
-                    lined = places[has[places]]
-                    here = lined[passes(h[lined])]
-                else:
-                    here = near if n >= ANCHOR else places
-                k, inverse = np.unique(h[here], return_inverse=True)
+            for h, here in parts:
+                k, inverse = np.unique(h, return_inverse=True)
                 e = np.bincount(inverse, label[here] == 1, len(k)).astype(np.int64)
                 keys.append(k.view(np.int64)), ends.append(e), goes.append(np.bincount(inverse, minlength=len(k)) - e)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ends, goes)], names=["h", "ends", "goes"])
@@ -252,40 +263,56 @@ def _counter(bloom: np.ndarray):
     return run
 
 
-def detect(df: DataFrame, key: str, column: str, lang: str = "lang") -> DataFrame:
-    """``key``, ``lang``, ``log_odds`` (of ending against going on), ``known`` (length of the context used), ``cut`` of every
-    text that is not blank; ``key`` must name one row."""
-    rows = df.where(F.col(key).isNotNull() & F.col(column).rlike(r"[^\s 　]")).select(F.col(key).alias("key"), language(lang).alias("lang"), F.col(column).alias("text"))
-    texts = cut(rows.select("lang", "text").distinct().select(F.xxhash64("text", "lang").alias("t"), "lang", "text"))
-    finals = cut(texts.mapInArrow(_finals, "t bigint, hs array<bigint>"))
-
-    # the Bloom filter of the anchors, as bytes that are or-ed before they come to the driver: BLOOM_BITS / 8 of them at most
+def _bloom(finals: DataFrame) -> np.ndarray:
+    """The filter of the anchors and lines, as bytes that are or-ed before they come to the driver: MOST_BITS / 8 at most."""
+    bits = LEAST_BITS
+    while bits < MOST_BITS and bits < 2 * ENTRY_BITS * finals.count():
+        bits *= 2
     anchor = LENGTHS.index(ANCHOR)
 
     def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = b.column("hs").flatten().to_numpy().reshape(-1, len(LENGTHS) + 1)[:, [anchor, _AT_LINE]].ravel().astype(np.int64).view(np.uint64)
-            at = np.unique(_bloom_places(h).ravel())
+            at = np.unique(_bloom_places(h, bits).ravel())
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array(np.uint64(1) << (at & np.uint64(63))).cast(pa.int64(), safe=False)], names=["w", "bits"])
 
     words = finals.mapInArrow(places, "w int, bits bigint").groupBy("w").agg(F.bit_or("bits").alias("bits")).toPandas()
-    bloom = np.zeros(BLOOM_BITS // 64, np.uint64)
+    bloom = np.zeros(bits // 64, np.uint64)
     bloom[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    bloom = bloom.view(np.uint8)
+    return bloom.view(np.uint8)
+
+
+def thresholds(scored: DataFrame, column: str) -> DataFrame:
+    """``lang``, ``threshold`` for every language of ``scored`` (``lang``, ``log_odds``): where the valley near 0 is deepest."""
+    steps = int(REACH / BIN)
+    counts = scored.where(F.abs("log_odds") <= REACH + BIN).groupBy("lang", F.floor(F.col("log_odds") / BIN + 0.5).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    middles = scored.select("lang").distinct().select("lang", F.explode(F.sequence(F.lit(-steps), F.lit(steps))).alias("bin"))
+    near = middles.join(counts, ["lang", "bin"], "left").select("lang", "bin", F.coalesce("n", F.lit(0)).alias("n"))
+    best = near.groupBy("lang").agg(F.min(F.struct("n", F.abs("bin").alias("far"), "bin")).alias("x")).select("lang", (F.col("x.bin") * BIN).alias("fitted"))
+    fixed = None
+    for (c, g), v in THRESHOLDS.items():
+        if c == column:
+            fixed = F.when(F.col("lang") == g, v) if fixed is None else fixed.when(F.col("lang") == g, v)
+    return best.select("lang", (F.coalesce(fixed, "fitted") if fixed is not None else F.col("fitted")).alias("threshold"))
 
-    inner = texts.mapInArrow(_counter(bloom), "h bigint, ends bigint, goes bigint")
-    wanted = finals.select("t", F.posexplode("hs").alias("i", "h")).where("h <> 0")
+
+def detect(df: DataFrame, key: str, column: str, lang: str = "lang") -> DataFrame:
+    """``key``, ``lang``, ``log_odds`` (of ending against going on), ``known`` (length of the context used), ``threshold``,
+    ``cut`` of every text that is not blank; ``key`` must name one row."""
+    rows = df.where(F.col(key).isNotNull() & F.col(column).rlike(r"[^\s 　]")).select(F.col(key).alias("key"), language(lang).alias("lang"), F.col(column).alias("text"))
+    # a text is named by 128 bits of it and its language
+    name = [F.xxhash64("text", "lang").alias("t"), F.xxhash64(F.lit("text"), "lang", "text").alias("u")]
+    texts = rows.select("lang", "text").distinct().select(*name, "lang", "text")
+    finals = cut(texts.mapInArrow(_finals, "t bigint, u bigint, hs array<bigint>, text string, seed bigint, marked boolean"))
+    inner = finals.select("text", "seed", "marked").mapInArrow(_counter(_bloom(finals)), "h bigint, ends bigint, goes bigint")
+    wanted = finals.select("t", "u", F.posexplode("hs").alias("i", "h"))
     own = wanted.where(F.col("i") >= LENGTHS.index(OWN_SHORT)).select("h", F.lit(0).cast("bigint").alias("ends"), F.lit(0).cast("bigint").alias("goes"), F.lit(1).cast("bigint").alias("own"))
     counts = inner.withColumn("own", F.lit(0).cast("bigint")).unionByName(own).groupBy("h").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"), F.sum("own").alias("own"))
     others = F.greatest(F.col("own") - 1, F.lit(0))
     others = F.when((F.col("i") >= LENGTHS.index(OWN)) | (others >= OWN_LEAST), others).otherwise(0)
-    known = wanted.join(counts, "h").select("t", "i", (F.col("ends") + others).alias("ends"), "goes").where("ends + goes > 0")
-    best = known.groupBy("t").agg(F.max(F.struct("i", "ends", "goes")).alias("x"))
-    best = best.select("t", F.element_at(F.array(*map(F.lit, (*LENGTHS, LINE))), F.col("x.i") + 1).alias("known"), F.log((F.col("x.ends") + SMOOTH) / (F.col("x.goes") + SMOOTH)).alias("log_odds"))
-    limit = F.lit(DEFAULT_THRESHOLD)
-    for (c, g), v in THRESHOLDS.items():
-        if c == column:
-            limit = F.when(F.col("lang") == g, v).otherwise(limit)
-    scored = rows.select("key", "lang", F.xxhash64("text", "lang").alias("t")).join(best, "t", "left")
-    odds = F.coalesce("log_odds", F.lit(-1.0))
-    return scored.select(F.col("key").alias(key), "lang", odds.alias("log_odds"), F.coalesce("known", F.lit(0)).alias("known"), (odds < limit).alias("cut"))
+    known = wanted.join(counts, "h").select("t", "u", "i", (F.col("ends") + others).alias("ends"), "goes").where("ends + goes > 0")
+    best = known.groupBy("t", "u").agg(F.max(F.struct("i", "ends", "goes")).alias("x"))
+    best = best.select("t", "u", F.element_at(F.array(*map(F.lit, (*LENGTHS, LINE))), F.col("x.i") + 1).alias("known"), F.log((F.col("x.ends") + SMOOTH) / (F.col("x.goes") + SMOOTH)).alias("log_odds"))
+    scored = cut(rows.select("key", "lang", *name).join(best, ["t", "u"], "left").select("key", "lang", F.coalesce("log_odds", F.lit(-1.0)).alias("log_odds"), F.coalesce("known", F.lit(0)).alias("known")))
+    limit = scored.join(thresholds(scored, column), "lang")
+    return limit.select(F.col("key").alias(key), "lang", "log_odds", "known", "threshold", (F.col("log_odds") < F.col("threshold")).alias("cut"))

@@ -10,7 +10,7 @@ from lodestrand.session import spread, table
 
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document that is not blank with its log-odds of being complete: ``doc_id``, ``lang``, ``log_odds``, ``known``, ``cut``."""
+    """Every document that is not blank with its log-odds of being complete: ``doc_id``, ``lang``, ``log_odds``, ``known``, ``threshold``, ``cut``."""
     return detect(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")), "doc_id", "text")
 
 
