@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm.lookalike import alike_pairs, forms
+from lodestrand.llm.lookalike import alike_groups, alike_pairs, forms
 from lodestrand.session import cut, spread, table
 
 SOURCES = {"causal_nodes": ("node_id", "text"), "evidence_units": ("unit_id", "content")}
@@ -17,6 +17,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of forms that unlike texts share, one row each: ``tbl``, ``representative`` (the form's smallest key), ``key``, ``spellings``."""
+    parts = []
+    for t, (k, c) in SOURCES.items():
+        rows = alike_groups(spread(table(spark, sf_dir, t).select(k, c)), k, c)
+        named = rows.groupBy("f").agg(F.min("key").alias("representative"), F.countDistinct("t").alias("spellings"))
+        parts.append(rows.join(named, "f").select(F.lit(t).alias("tbl"), "representative", "key", "spellings").distinct())
+    return parts[0].unionByName(parts[1])
+
+
 def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The form of every row: ``tbl``, ``key``, ``form`` (null for a null text)."""
     parts = []
@@ -37,5 +47,5 @@ def p6_changed_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-QUERIES = {"p6_found": p6_found, "p6_forms": p6_forms, "p6_changed_characters": p6_changed_characters}
+QUERIES = {"p6_found": p6_found, "p6_classes": p6_classes, "p6_forms": p6_forms, "p6_changed_characters": p6_changed_characters}
 SQL: dict[str, str] = {}
