@@ -1,9 +1,16 @@
 """Free-entered values to the entries of a reference list.
 
 A multi-pattern automaton over all canonical names and aliases finds the mentions embedded in a value; of overlapping
-mentions the longest wins. Values without a mention go to token-set similarity against the whole list; of its best
-entries the one the value is a slip, a rearrangement or an abbreviation of is taken, and a tie between two entries is no
-match. Values compare without case, width, white space and punctuation, and traditional characters as simplified ones.
+mentions the longest wins, and a mention in a script with spaces begins and ends where a word does. If the longest
+mentions that do not overlap mean several entries, the value is ambiguous and names none. Values without a mention go to
+token-set similarity against the whole list; of the entries that are near enough the one the value is a slip, a
+rearrangement or an abbreviation of is taken, and a tie between two entries is no match. Values compare without case,
+width, white space and punctuation, and traditional characters as simplified ones (by the public transliteration of the
+ICU library that Spark brings along).
+
+Words and characters that say nothing about the entry (``Company``, ``Ltd``) are taken from the values themselves: those
+that occur in at least ``NOISE_SHARE`` of the distinct values and in no entry of the list. They are taken off only where a
+value has no mention.
 
 Null, blank and filler values, and values that name no entry, come out with an empty code. The list is collected to the
 driver and sent to the workers: ``MAX_ENTRIES`` bounds it, a longer list is an error.
@@ -15,45 +22,61 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.session import fan_out
+from lodestrand.session import cut, fan_out
 
 MAX_ENTRIES = 200_000
-#: Entries that similarity hands to the comparison of spellings.
-SHORTLIST = 12
-
-# Traditional forms and their simplified ones, for the characters of industry names.
-TRADITIONAL = "業絲倉儲溫儲準製噴場塊殼處層崗護長實條縫網測檢濕燒熱貼車軟輸過運遠遙配重銅錫門陽驗監鹽碼矽窯筆級紙線組結維纖纜羅聯蠶螢貝貨貯費軸載輕轉鋼鐵鋁鎳鍍鑄鑽鏈閥電頭顆類飼養魚鳥麥黃齊齒龍產壓塗裝運廢舊報價務廠軌導屬島農園圖團國華葉蓋藥蘆術衛補裡見規視訂設證評詞試該誌誤說調請談變讓豐負責貴買賣質贊趕躍軍輪轄輯輛辦邊達遞選還醫釀釋針釘鈣鈉鈕錄錘鍋鎖鐘長閉開間關陳陰陸際隊隨險隱雙雜難離雲霧靜頂項順須預領頻題額顏風飛餐館馬駐驅驟骨體鬆魯鮮鴨鹼"
-SIMPLIFIED = "业丝仓储温储准制喷场块壳处层岗护长实条缝网测检湿烧热贴车软输过运远遥配重铜锡门阳验监盐码硅窑笔级纸线组结维纤缆罗联蚕荧贝货贮费轴载轻转钢铁铝镍镀铸钻链阀电头颗类饲养鱼鸟麦黄齐齿龙产压涂装运废旧报价务厂轨导属岛农园图团国华叶盖药芦术卫补里见规视订设证评词试该志误说调请谈变让丰负责贵买卖质赞赶跃军轮辖辑辆办边达递选还医酿释针钉钙钠钮录锤锅锁钟长闭开间关陈阴陆际队随险隐双杂难离云雾静顶项顺须预领频题额颜风飞餐馆马驻驱骤骨体松鲁鲜鸭碱"
-_SIMPLE = str.maketrans(TRADITIONAL, SIMPLIFIED)
+#: Share of the distinct values from which a word or character sequence that no entry holds counts as noise (so a value of
+#: n of them bounds them by n / NOISE_SHARE), and share of the entries in a script with spaces from which a word says nothing.
+NOISE_SHARE, LIST_SHARE = 0.01, 0.2
+#: Longest sequence of CJK characters that may be noise.
+NOISE_CHARS = 4
 
-# Words that say nothing about the class, and values that stand for none.
-NOISE_WORDS = ["local", "the", "ltd", "co", "inc", "llc", "company", "services", "service", "business", "industry", "seasonal", "of", "and", "a"]
-NOISE_CJK = ["本地", "专业", "公司", "企业", "业务", "行业", "个体", "材料", "类", "厂", "的", "之", "业"]
+# Values that stand for none.
 FILLERS = ["n/a", "na", "none", "null", "unknown", "other", "others", "misc", "tbd", "see attachment", "same as above", "test", "无", "其他", "同上", "待定", "不详", "未知"]
 
-# Characters of industry names and ones of like shape; such a slip weighs less than another.
-LOOKALIKE_CJK = {frozenset(p) for p in "本木 右石 轮软 扳板 仑仓 斤片 师筛 兮分 丁打 屋层 徐涂 侧测 捡检 供烘 于干 厌压 台合 宁定 重量 饱包 选远 翰输 唯维 呈程 诸储 功切 面回 取收".split()}
-
-_CJK = re.compile(r"[㐀-鿿豈-﫿]")
+_CJK = re.compile(r"[㐀-鿿豈-﫿]")
+_RUN = re.compile(r"[㐀-鿿豈-﫿]+")
+_WORD = re.compile(r"[^\W_]+")
 _CODE = re.compile(r"(?<![a-z0-9])[a-z]\d{3,4}(?![a-z0-9])|(?<![a-z0-9])[a-z]\d{4}(?=[^\x00-\x7f])")
-_NOISE = re.compile("|".join(sorted(NOISE_CJK, key=len, reverse=True)))
 
 
-def fold(value: str) -> str:
+def simplified(spark: SparkSession) -> dict[int, str]:
+    """Traditional characters and the simplified ones they are written with, by the public transliteration."""
+    blocks = [chr(c) for r in ((0x3400, 0xA000), (0xF900, 0xFB00)) for c in range(*r)]
+    turned = spark.sparkContext._jvm.com.ibm.icu.text.Transliterator.getInstance("Traditional-Simplified").transliterate("\n".join(blocks)).split("\n")
+    return {ord(a): b for a, b in zip(blocks, turned, strict=True) if a != b}
+
+
+def radicals(spark: SparkSession) -> dict[str, int]:
+    """The radical of each CJK character, by the public order of characters by radical and strokes."""
+    jvm = spark.sparkContext._jvm
+    roots = [unicodedata.normalize("NFKC", chr(c)) for c in range(0x2F00, 0x2FD6)]
+    order = jvm.java.util.Collections.list(jvm.java.util.StringTokenizer("\n".join(map(chr, range(0x4E00, 0xA000)))))
+    jvm.java.util.Collections.sort(order, jvm.com.ibm.icu.text.Collator.getInstance(jvm.com.ibm.icu.util.ULocale("zh-u-co-unihan")))
+    at, out = -1, {}
+    number = {c: i for i, c in enumerate(roots)}
+    for c in jvm.java.lang.String.join("\n", order).split("\n"):
+        at = number.get(c, at)
+        out[c] = at
+    return out
+
+
+def fold(value: str, simple: dict[int, str]) -> str:
     """``value`` in one width, case and script form, with separators as single spaces."""
-    v = unicodedata.normalize("NFKC", value).casefold().translate(_SIMPLE)
-    v = re.sub(r"[&+]", " and ", v)
+    v = unicodedata.normalize("NFKC", value).casefold().translate(simple)
+    v = re.sub(r"[&+]+", " and ", v)
     return v.strip()
 
 
 def squeeze(folded: str) -> str:
     """Letters and digits only."""
-    return re.sub(r"[\W_]+", "", folded)
+    return "".join(_WORD.findall(folded))
 
 
 def edits(a: str, b: str, limit: int) -> int:
@@ -82,43 +105,71 @@ def _shortens(short: str, word: str) -> bool:
     return all(c in it for c in short)
 
 
+def parts_of(folded: str) -> set[str]:
+    """What may be noise in a value: its words, and the sequences of up to ``NOISE_CHARS`` CJK characters."""
+    out = {w for w in _WORD.findall(_CODE.sub(" ", folded)) if not _CJK.search(w)}
+    for r in _RUN.findall(folded):
+        out |= {r[i : i + n] for n in range(1, NOISE_CHARS + 1) for i in range(len(r) - n + 1)}
+    return out
+
+
+def _limit(spelling: str) -> int:
+    """Edits a value may be away from a spelling."""
+    return (1 if len(spelling) <= 8 else 2) if _CJK.search(spelling) else min(3, len(spelling) // 6)
+
+
 class Matcher:
     """The reference list, ready to look values up in."""
 
-    def __init__(self, entries: list[tuple[str, str]]):
+    def __init__(self, entries: list[tuple[str, str]], noise: Iterable[str] = (), simple: dict[int, str] | None = None, radical: dict[str, int] | None = None):
         """``entries``: pairs of a name or alias and its code. A name that several codes share names none of them."""
         import ahocorasick
 
+        self.simple, self.radical = simple or {}, radical or {}
         codes: dict[str, set[str]] = defaultdict(set)
         text: dict[str, str] = {}
         for name, code in entries:
-            f = fold(name)
+            f = fold(name, self.simple)
             if k := squeeze(f):
                 codes[k].add(code)
                 text.setdefault(k, f)
+        held: dict[str, int] = defaultdict(int)
+        for f in text.values():
+            for w in parts_of(f):
+                held[w] += 1
+        spaced = sum(not _CJK.search(f) for f in text.values())
+        common = {w for w, n in held.items() if n > max(LIST_SHARE * spaced, 1 / LIST_SHARE) and not _CJK.search(w)}
+        noise = {x for x in noise if x not in held}
+        self.noise_words = {x for x in noise if not _CJK.search(x)} | common
+        cjk = sorted((x for x in noise if _CJK.search(x)), key=lambda x: (-len(x), x))
+        self.noise = re.compile("|".join(map(re.escape, cjk))) if cjk else None
         self.keys = [k for k in codes if len(codes[k]) == 1]
         self.codes = [next(iter(codes[k])) for k in self.keys]
         self.words = [self._words(text[k]) for k in self.keys]
-        self.core = ["".join(w) for w in self.words]
         self.auto = ahocorasick.Automaton()
         for i, k in enumerate(self.keys):
             self.auto.add_word(k, i)
         if self.keys:
             self.auto.make_automaton()
+        # spellings: an entry as written and without noise; by token, and by a word's place and first letter
+        self.spelled = sorted({(x, i) for i, k in enumerate(self.keys) for x in (k, "".join(self.words[i])) if x})
         self.posting: dict[str, list[int]] = defaultdict(list)
-        self.sizes = []
-        for i, k in enumerate(self.core):
-            t = self._tokens(k)
-            self.sizes.append(len(t))
-            for x in t:
-                self.posting[x].append(i)
-
-    @staticmethod
-    def _words(folded: str) -> list[str]:
+        self.least: list[int] = []
+        for j, (x, _) in enumerate(self.spelled):
+            t = self._tokens(x)
+            # an edit changes one character token, or at most three tokens of neighbours (a swap)
+            self.least.append(len(t) - _limit(x) * (1 if _CJK.search(x) else 3))
+            for y in t:
+                self.posting[y].append(j)
+        self.initial: dict[tuple[int, int, str], list[int]] = defaultdict(list)
+        for i, ws in enumerate(self.words):
+            for n, w in enumerate(ws):
+                self.initial[len(ws), n, w[0]].append(i)
+
+    def _words(self, folded: str) -> list[str]:
         bare = _CODE.sub(" ", folded)
-        if _CJK.search(bare):
-            return [w for w in re.split(r"[\W_]+", bare) if w]
-        return [w for w in re.split(r"[\W_]+", bare) if w and w not in NOISE_WORDS]
+        words = _WORD.findall(bare)
+        return words if _CJK.search(bare) else [w for w in words if w not in self.noise_words]
 
     @staticmethod
     def _tokens(key: str) -> set[str]:
@@ -127,18 +178,33 @@ class Matcher:
             return set(key)
         return {key[i : i + 2] for i in range(len(key) - 1)} or {key}
 
-    def mention(self, squeezed: str) -> str | None:
-        """The code of the longest embedded mention; of equally long ones the first."""
-        spans = [(len(self.keys[i]), -end, i) for end, i in self.auto.iter(squeezed)] if self.keys else []
-        return self.codes[max(spans)[2]] if spans else None
+    def mentioned(self, folded: str) -> set[str]:
+        """The codes of the longest mentions that do not overlap; one in a script with spaces begins and ends as words do."""
+        if not self.keys:
+            return set()
+        at = [i for i, c in enumerate(folded) if c.isalnum()]
+        squeezed = "".join(folded[i] for i in at)
+        word = lambda i: 0 <= i < len(folded) and folded[i].isalnum() and not _CJK.match(folded[i])
+        spans = []
+        for end, i in self.auto.iter(squeezed):
+            first = end - len(self.keys[i]) + 1
+            a, b = at[first], at[end]
+            if not (word(a) and word(a - 1)) and not (word(b) and word(b + 1)):
+                spans.append((-len(self.keys[i]), first, end, i))
+        taken: list[tuple[int, int]] = []
+        out = set()
+        for _, first, end, i in sorted(spans):
+            if all(end < a or first > b for a, b in taken):
+                taken.append((first, end))
+                out.add(self.codes[i])
+        return out
 
     def _orders(self, folded: str) -> list[list[str]]:
         """The value's words as written, and with its parts exchanged at a comma, a bracket or ``of``."""
         bare = _CODE.sub(" ", folded)
-        bare = re.sub(r"\((seasonal|个体)\)", " ", bare)
         out = [self._words(bare)]
         for parts in (re.split(r"\s*,\s*|\s+of\s+", bare), re.split(r"[()]+", bare)):
-            parts = [p for p in parts if squeeze(p)]
+            parts = [p for p in parts if self._bare(p)]
             if len(parts) == 2:
                 first = self._words(parts[1])
                 if " of " in f" {bare} " and first and first[-1].endswith("s"):
@@ -146,69 +212,100 @@ class Matcher:
                 out.append(first + self._words(parts[0]))
         return [o for o in out if o]
 
-    def similar(self, folded: str) -> str | None:
-        """The code of the entry the value is nearest to, if it is near enough and no other entry is as near."""
+    def _bare(self, folded: str) -> str:
+        words = "".join(self._words(folded))
+        return self.noise.sub("", words) if self.noise else words
+
+    def similar(self, folded: str) -> set[str]:
+        """The codes of the entries the value is nearest to, of those that are near enough."""
         best: dict[str, int] = {}
+
+        def found(i: int, d: int) -> None:
+            best[self.codes[i]] = min(d, best.get(self.codes[i], d))
+
         for words in self._orders(folded):
             key = "".join(words)
             forms = {key}
             if len(words) > 1 and not _CJK.search(key):
                 forms.add(squeeze(_CODE.sub(" ", folded)))
-            if _CJK.search(key):
-                stripped = _NOISE.sub("", key)
-                forms |= {stripped} if stripped else set()
+            if self.noise and _CJK.search(key):
+                forms |= {self.noise.sub("", key)} - {""}
             for form in forms:
-                tokens = self._tokens(form)
                 hits: dict[int, int] = defaultdict(int)
-                for t in tokens:
-                    for i in self.posting.get(t, ()):
-                        hits[i] += 1
-                ranked = sorted(hits, key=lambda i: (-2 * hits[i] / (self.sizes[i] + len(tokens)), i))
-                for i in ranked[:SHORTLIST]:
-                    if (d := self._distance(form, words, i)) is not None:
-                        best[self.codes[i]] = min(d, best.get(self.codes[i], 99))
-        if not best:
-            return None
-        low = min(best.values())
-        first = [c for c, d in best.items() if d == low]
-        return first[0] if len(first) == 1 else None
-
-    def _distance(self, form: str, words: list[str], i: int) -> int | None:
-        core = self.core[i]
-        limit = (1 if len(core) <= 8 else 2) if _CJK.search(core) else min(3, len(core) // 6)
-        d = min(edits(form, core, limit), edits(form, self.keys[i], limit))
-        if d == 1 and len(form) == len(core) and [frozenset(p) for p in zip(form, core) if p[0] != p[1]][0] in LOOKALIKE_CJK:
-            return 5
-        if d <= limit:
-            return d * 10
-        if not _CJK.search(core) and len(words) == len(self.words[i]) and all(_shortens(a, b) or edits(a, b, 1) <= 1 for a, b in zip(words, self.words[i])):
-            return 15
-        return None
-
-    def code(self, value: str | None) -> str:
-        """The code ``value`` means, or an empty text."""
-        if value is None:
-            return ""
-        folded = fold(value)
+                for t in self._tokens(form):
+                    for j in self.posting.get(t, ()):
+                        hits[j] += 1
+                for j, n in hits.items():
+                    x, i = self.spelled[j]
+                    if n >= self.least[j] and (d := edits(form, x, _limit(x))) <= _limit(x):
+                        found(i, 5 if d == 1 and self._same_radical(form, x) else d * 10)
+            if not _CJK.search(key):
+                for i in {i for n, w in enumerate(words) for i in self.initial.get((len(words), n, w[0]), ())}:
+                    if all(_shortens(a, b) or edits(a, b, 1) <= 1 for a, b in zip(words, self.words[i])):
+                        found(i, 15)
+        low = min(best.values(), default=0)
+        return {c for c, d in best.items() if d == low}
+
+    def _same_radical(self, a: str, b: str) -> bool:
+        """Whether the one character two spellings differ in has the same radical in both: a slip of the shape."""
+        if len(a) != len(b):
+            return False
+        x, y = next((x, y) for x, y in zip(a, b) if x != y)
+        return self.radical.get(x, -1) == self.radical.get(y, -2)
+
+    def decide(self, value: str | None) -> tuple[str, str]:
+        """The code ``value`` means, or an empty text, and why: ``mention``, ``similar``, ``ambiguous``, ``filler`` or ``none``."""
+        folded = fold(value, self.simple) if value is not None else ""
         if not squeeze(folded) or folded.strip(" .。?") in FILLERS:
-            return ""
-        return self.mention(squeeze(folded)) or self.similar(folded) or ""
+            return "", "filler"
+        codes, why = self.mentioned(folded), "mention"
+        if not codes:
+            codes, why = self.similar(folded), "similar"
+        if len(codes) > 1:
+            return "", "ambiguous"
+        return (codes.pop(), why) if codes else ("", "none")
 
 
-def map_values(df: DataFrame, key: str, column: str, entries: list[tuple[str, str]]) -> DataFrame:
-    """``key`` and ``full_code`` of each row; every distinct value is looked up once.
+@lru_cache(maxsize=1)
+def _of_worker(entries: tuple, noise: tuple, simple: tuple, radical: tuple) -> Matcher:
+    """The list is made ready once a worker process, not once a task."""
+    return Matcher(list(entries), noise, dict(simple), dict(radical))
+
+
+def noise_of(values: DataFrame, column: str, simple: dict[int, str]) -> list[str]:
+    """Words and character sequences that at least ``NOISE_SHARE`` of the distinct ``values`` hold."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"part": [p for v in b[column] for p in parts_of(fold(v, simple))]}, dtype=str)
+
+    least = max(values.count() * NOISE_SHARE, 2)
+    return sorted(r["part"] for r in values.mapInPandas(run, "part string").groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") >= least).collect())
+
+
+def decide_values(df: DataFrame, key: str, column: str, entries: list[tuple[str, str]]) -> DataFrame:
+    """``key``, ``value``, ``full_code`` and ``why`` of each row; every distinct value is looked up once.
 
     A key counts once however often its row is repeated; rows of one key with different values give a row each.
     """
     if len(entries) > MAX_ENTRIES:
         raise ValueError(f"the reference list has {len(entries)} names, more than {MAX_ENTRIES}")
+    spark = df.sparkSession
+    simple = simplified(spark)
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key), F.col(column).alias("value")).dropDuplicates()
+    distinct = cut(fan_out(rows.select("value").where("value is not null").distinct()))
+    known = spark.sparkContext.broadcast((tuple(entries), tuple(noise_of(distinct, "value", simple)), tuple(simple.items()), tuple(radicals(spark).items())))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(entries)
+        matcher = _of_worker(*known.value)
         for b in batches:
-            yield pd.DataFrame({"value": b["value"], "full_code": [matcher.code(v) for v in b["value"]]})
+            codes = [matcher.decide(v) for v in b["value"]]
+            yield pd.DataFrame({"value": b["value"], "full_code": [c for c, _ in codes], "why": [w for _, w in codes]})
 
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key), F.col(column).alias("value")).dropDuplicates()
-    distinct = fan_out(rows.select("value").where("value is not null").distinct())
-    found = distinct.mapInPandas(run, "value string, full_code string")
-    return rows.join(found, "value", "left").select(key, F.coalesce("full_code", F.lit("")).alias("full_code"))
+    found = distinct.mapInPandas(run, "value string, full_code string, why string")
+    return rows.join(found, "value", "left").select(key, "value", F.coalesce("full_code", F.lit("")).alias("full_code"), F.coalesce("why", F.lit("filler")).alias("why"))
+
+
+def map_values(df: DataFrame, key: str, column: str, entries: list[tuple[str, str]]) -> DataFrame:
+    """``key`` and ``full_code`` of each row."""
+    return decide_values(df, key, column, entries).select(key, "full_code")

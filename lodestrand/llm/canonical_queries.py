@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm.canonical import MAX_ENTRIES, map_values
+from lodestrand.llm.canonical import MAX_ENTRIES, decide_values, map_values
 from lodestrand.operators.packed import unpack_fields
 from lodestrand.session import table
 
@@ -25,11 +25,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names that mean no class, with the number of entries that carry them."""
-    entries = table(spark, sf_dir, "gb6441_industry_map")
-    none = p2_found(spark, sf_dir).where("full_code = ''").select("entry_id")
-    names = entries.select("entry_id", "industry_name").dropDuplicates().join(none, "entry_id", "left_semi")
-    return names.groupBy("industry_name").agg(F.countDistinct("entry_id").alias("entries"))
+    """Names that mean no class, why (filler, ambiguous, none), with the number of entries that carry them."""
+    entries = decide_values(table(spark, sf_dir, "gb6441_industry_map"), "entry_id", "industry_name", class_entries(spark, sf_dir))
+    return entries.where("full_code = ''").groupBy(F.col("value").alias("industry_name"), "why").agg(F.countDistinct("entry_id").alias("entries"))
 
 
 def p2_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,11 +97,36 @@ NAMES = {
 }
 
 
-def test_names():
-    m = canonical.Matcher(LIST)
-    assert {n: m.code(n) for n in NAMES} == NAMES
-    assert m.code(None) == "" and m.code("x" * 20_000) == "" and canonical.Matcher([]).code("abc") == ""
-    assert len(canonical.TRADITIONAL) == len(canonical.SIMPLIFIED)
+NOISE = ["专业", "公司", "的", "ltd", "of"]
+
+
+def test_names(spark):
+    simple, radical = canonical.simplified(spark), canonical.radicals(spark)
+    m = canonical.Matcher(LIST, NOISE, simple, radical)
+    assert {n: m.decide(n)[0] for n in NAMES} == NAMES
+    assert m.decide(None) == ("", "filler") and m.decide("x" * 20_000)[0] == "" and canonical.Matcher([]).decide("abc") == ("", "none")
+    assert radical["本"] == radical["木"] != radical["泥"] and simple[ord("倉")] == "仓"
+
+
+def test_mentions_are_words_and_two_of_them_are_ambiguous():
+    m = canonical.Matcher([("Ice", "A1"), ("Tea", "B1"), ("Coal mining", "C1"), ("tea trade", "B1"), ("木炭", "D1"), ("木炭烧结", "D2")])
+    want = {"rice milling": ("", "none"), "office work": ("", "none"), "ice": ("A1", "mention"), "Tea growing and Coal mining": ("", "ambiguous"), "tea trade, tea": ("B1", "mention"), "大木炭烧结厂": ("D2", "mention")}
+    assert {v: m.decide(v) for v in want} == want
+
+
+def test_every_near_entry_is_compared():
+    """Entries that share more tokens with a value than the right one cannot push it out: the nearest equals brute force."""
+    rng = np.random.default_rng(3)
+    names = sorted({"".join(rng.choice(list("abcdefg"), rng.integers(8, 20))) for _ in range(300)})
+    m = canonical.Matcher([(n, f"c{i}") for i, n in enumerate(names)])
+    for n in names[:80]:
+        at = int(rng.integers(1, len(n) - 1))
+        value = n[:at] + "z" + n[at + 1 :]
+        d = {c: canonical.edits(value, x, canonical._limit(x)) for x, c in zip(m.keys, m.codes)}
+        near = {c: v for (c, v), x in zip(d.items(), m.keys) if v <= canonical._limit(x)}
+        least = {c for c, v in near.items() if v == min(near.values())}
+        if not m.mentioned(value):
+            assert m.similar(value) == least
 
 
 def test_map_values(spark):
