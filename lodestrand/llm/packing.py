@@ -1,9 +1,11 @@
 """Documents laid into containers of fixed capacity.
 
-Items go to shards of bounded size. In a shard a BM25 inverted index over the items' token ids returns, for the largest
-unused item as a seed, its unused neighbours; they fill the seed's container greedily, the most alike first, and what
-space is left goes to the largest unused items that fit. Containers a shard leaves slack are taken apart and packed again
-in fewer shards, until one shard is left, so only the last one has slack for want of items.
+Items go to shards of bounded size, like ones together: they are ordered by the smallest hashes of their token ids, which
+two items share as often as they are alike, and every ``SHARD_ITEMS`` of that order are a shard. In a shard a BM25 inverted
+index over the items' token ids returns, for the largest unused item as a seed, its unused neighbours by all of its
+terms; they fill the seed's container greedily, the most alike first, and what space is left goes to the largest unused
+items that fit. The containers a shard leaves slack are taken apart and packed again with those of other shards, by other
+hashes, ``LEVELS`` times at most; a shard never grows, so the last level may leave a slack container a shard.
 
 An item larger than the capacity is cut into full containers and a rest; no other is cut. Items without tokens take no
 space and lie in the container their shard fills last; if there is none, in one of their own.
@@ -15,13 +17,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.operators.ordering import numbered
 from lodestrand.session import cut
 
-#: Items of a shard on average, terms of a seed that are looked up, and the fill below which a container is packed again.
-SHARD_ITEMS, SEED_TERMS, SLACK = 2000, 24, 0.98
+#: Items of a shard, times the slack containers are packed again, and the fill below which a container is slack.
+SHARD_ITEMS, LEVELS, SLACK = 2000, 4, 0.98
 K1, B = 1.2, 0.75
 
 
@@ -52,11 +55,10 @@ class Bm25:
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused items that share a term with the seed, the highest score first."""
         at = np.searchsorted(self.vocabulary, self.own_terms[seed])
-        rank = np.argsort(-self.own_counts[seed] * self.idf[at], kind="stable")[:SEED_TERMS]
-        score = np.zeros(self.n)
-        for t in at[rank]:
-            span = slice(self.begin[t], self.begin[t] + self.df[t])
-            score[self.owner[span]] += self.weight[span]
+        size = self.df[at]
+        # the places of all the terms' postings, one stretch after the other
+        places = np.arange(size.sum()) + np.repeat(self.begin[at] - np.cumsum(size) + size, size)
+        score = np.bincount(self.owner[places], self.weight[places], self.n)
         score[~unused] = 0
         found = np.flatnonzero(score)
         return found[np.lexsort((found, -score[found]))]
@@ -117,43 +119,52 @@ def items(tokens: DataFrame, key: str, ids: str, capacity: int) -> DataFrame:
 
 
 def _packer(key: str, capacity: int, level: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Packs a shard; the token ids stay with the items of slack containers only, since no other is packed again."""
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values([key, "part"], kind="stable").reset_index(drop=True)
-        at = pack_shard([np.asarray(x, np.int64) for x in group["ids"]], group["size"].to_numpy(np.int64), capacity)
+        sizes = group["size"].to_numpy(np.int64)
+        at = pack_shard([np.asarray(x, np.int64) for x in group["ids"]], sizes, capacity)
+        fill = np.bincount(at, sizes, at.max() + 1)
+        slack = (fill < SLACK * capacity)[at]
         group["container"] = [f"{level}-{group['shard'].iat[0]}-{c}" for c in at]
-        return group[[key, "part", "start", "size", "ids", "container"]]
+        group["slack"] = slack
+        group["ids"] = [x if y else None for x, y in zip(group["ids"], slack)]
+        return group[[key, "part", "start", "size", "ids", "container", "slack"]]
 
     return run
 
 
-def pack(tokens: DataFrame, key: str, ids: str = "ids", capacity: int = 4096, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def _likeness(level: int) -> list[Column]:
+    """The smallest and the second smallest hash of an item's token ids."""
+    hashes = F.array_sort(F.transform(F.array_distinct("ids"), lambda x: F.xxhash64(F.lit(level), x)))
+    return [F.get(hashes, F.lit(0)).alias("h1"), F.get(hashes, F.lit(1)).alias("h2")]
+
+
+def pack(tokens: DataFrame, key: str, ids: str = "ids", capacity: int = 4096, shard_items: int = SHARD_ITEMS, levels: int = LEVELS) -> DataFrame:
     """``key``, ``part``, ``start``, ``size``, ``container``: where every item, and every part of an oversized one, lies.
 
     ``key`` must name one row.
     """
-    every = cut(items(tokens, key, ids, capacity))
     kind = tokens.schema[key].dataType.simpleString()
-    full = every.where(F.col("size") == capacity).select(key, "part", "start", "size", F.concat_ws("-", F.lit("full"), F.col(key).cast("string"), "part").alias("container"))
-    open_ = every.where(F.col("size") < capacity)
-    done = [full]
-    left = open_.count()
-    level = 0
-    while left:
-        shards = max(1, -(-left // shard_items))
-
-        sharded = open_.withColumn("shard", F.pmod(F.xxhash64(F.lit(level), key, "part"), F.lit(shards)).cast("int"))
-        packed = cut(sharded.groupBy("shard").applyInPandas(_packer(key, capacity, level), f"`{key}` {kind}, part int, start int, size int, ids array<int>, container string"))
-        if shards == 1:
-            done.append(packed.drop("ids"))
+    done = []
+    rows = items(tokens, key, ids, capacity)
+    place = [key, "part", "start", "size", "container"]
+    for level in range(levels):
+        sketched = cut(rows.select(key, "part", "start", "size", "ids", *_likeness(level)))
+        if level == 0:
+            full = F.concat_ws("-", F.lit("full"), F.col(key).cast("string"), "part")
+            done.append(sketched.where(F.col("size") == capacity).select(key, "part", "start", "size", full.alias("container")))
+            sketched = sketched.where(F.col("size") < capacity)
+        order = numbered(sketched.select(key, "part", "h1", "h2"), ["h1", "h2", key, "part"])
+        shard = order.select(key, "part", F.floor((F.col("rn") - 1) / shard_items).alias("shard"))
+        packed = cut(sketched.drop("h1", "h2").join(shard, [key, "part"]).groupBy("shard").applyInPandas(_packer(key, capacity, level), f"`{key}` {kind}, part int, start int, size int, ids array<int>, container string, slack boolean"))
+        slack = packed.where("slack")
+        if level == levels - 1 or slack.isEmpty() or packed.agg(F.countDistinct(F.split("container", "-")[1])).head()[0] < 2:
+            done.append(packed.select(place))
             break
-        fills = packed.groupBy("container").agg(F.sum("size").alias("fill"))
-        slack = fills.where(F.col("fill") < SLACK * capacity).select("container")
-        done.append(packed.drop("ids").join(slack, "container", "left_anti").select(key, "part", "start", "size", "container"))
-        open_ = packed.join(slack, "container", "left_semi").select(key, "part", "start", "size", "ids")
-        before, left = left, open_.count()
-        level += 1
-        if left > before // 2:  # items that pack no better: give each shard more of them
-            shard_items *= 4
+        done.append(packed.where("not slack").select(place))
+        rows = slack.drop("container", "slack")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
