@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,20 +44,36 @@ def _wide(levels: DataFrame, leaves: dict[str, Leaf]) -> DataFrame:
     return tagged.groupBy("rec_id", "parent_path", "path").agg(*(F.max(F.when(F.col("field") == name, F.col("val"))).alias(name) for name in leaves))
 
 
-def p3_chain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat table of ``chain_json`` edges with their fields and their link to the chain."""
-    g = "edges[]"
-    leaves = {"edge_id": Leaf(f"{g}.edge_id"), "relation": Leaf(f"{g}.relation"), "source_id": Leaf(f"{g}.source.id"), "target_id": Leaf(f"{g}.target.id"), "score": Leaf(f"{g}.score"), "kind": kind_leaf(g)}
-    levels = shred(fan_out(records(spark, sf_dir, "causal_chains")), *KEYS["causal_chains"], list(leaves.values()))
-    return _wide(levels, leaves).where("kind = 'object'").drop("kind").withColumn("score", F.col("score").try_cast("double"))
+#: The flat table of each list: source, list, and its fields with the leaf each is read from and its type.
+FLAT = {
+    "p3_chain_edges": ("causal_chains", "edges[]", {"edge_id": ("edge_id", "string"), "relation": ("relation", "string"), "source_id": ("source.id", "string"), "target_id": ("target.id", "string"), "score": ("score", "double")}),
+    "p3_chain_evidence": ("causal_chains", "edges[].evidence[]", {"unit_id": ("unit_id", "string"), "quote": ("quote", "string")}),
+    "p3_chain_spans": ("causal_chains", "edges[].evidence[].spans[]", {"start": ("start", "int"), "end": ("end", "int")}),
+    "p3_chain_notes": ("causal_chains", "edges[].review.notes[]", {"at": ("at", "string"), "txt": ("txt", "string")}),
+    "p3_chain_ranking": ("causal_chains", "branch.ranking[]", {"code": ("code", "string"), "score": ("score", "double")}),
+    "p3_layout_sections": ("evidence_chunks", "layout.sections[]", {"title": ("title", "string")}),
+    "p3_layout_blocks": ("evidence_chunks", "layout.sections[].blocks[]", {"block_id": ("block_id", "string"), "kind": ("kind", "string")}),
+    "p3_layout_marks": ("evidence_chunks", "layout.sections[].blocks[].marks[]", {"label": ("label", "string"), "start": ("start", "int"), "end": ("end", "int")}),
+    "p3_edge_cites": ("causal_chain_edges", "cites[]", {"unit_id": ("unit_id", "string"), "quote": ("quote", "string")}),
+    "p3_edge_cite_spans": ("causal_chain_edges", "cites[].spans[]", {"start": ("start", "int"), "end": ("end", "int")}),
+    "p3_edge_notes": ("causal_chain_edges", "review.notes[]", {"at": ("at", "string"), "txt": ("txt", "string")}),
+}
+
+
+def flat_table(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The query of one flat table: ``rec_id``, ``parent_path``, ``path`` and the fields of every object in the list."""
+    tbl, group, fields = FLAT[name]
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        leaves = {f: Leaf(f"{group}.{leaf}") for f, (leaf, _) in fields.items()} | {"@": kind_leaf(group)}
+        levels = shred(fan_out(records(spark, sf_dir, tbl)), *KEYS[tbl], list(leaves.values()))
+        return _wide(levels, leaves).where("`@` = 'object'").select("rec_id", "parent_path", "path", *(F.col(f) if t == "string" else F.col(f).try_cast(t).alias(f) for f, (_, t) in fields.items()))
+
+    return query
 
 
-def p3_chain_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat table of ``chain_json`` evidence spans with start, end and their link to the evidence."""
-    g = "edges[].evidence[].spans[]"
-    leaves = {"start": Leaf(f"{g}.start"), "end": Leaf(f"{g}.end"), "kind": kind_leaf(g)}
-    levels = shred(fan_out(records(spark, sf_dir, "causal_chains")), *KEYS["causal_chains"], list(leaves.values()))
-    return _wide(levels, leaves).where("kind = 'object'").select("rec_id", "parent_path", "path", F.col("start").try_cast("int").alias("start"), F.col("end").try_cast("int").alias("end"))
+p3_chain_edges = flat_table("p3_chain_edges")
+p3_chain_spans = flat_table("p3_chain_spans")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,5 +88,5 @@ def p5_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_found(spark, sf_dir).groupBy("tbl", "field", "val").agg(F.count("*").alias("n"), F.countDistinct("rec_id").alias("records"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_chain_edges": p3_chain_edges, "p3_chain_spans": p3_chain_spans, "p5_found": p5_found, "p5_value_counts": p5_value_counts}
+QUERIES = {"p3_found": p3_found, **{name: flat_table(name) for name in FLAT}, "p5_found": p5_found, "p5_value_counts": p5_value_counts}
 SQL: dict[str, str] = {}

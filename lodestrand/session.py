@@ -33,19 +33,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder lineage is cut in.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; only where that is unset (a local test session) a
-    temporary folder of this machine is used.
+    A cluster names a shared folder in ``spark.checkpoint.dir``. Where it is unset, a local master gets a temporary folder
+    of this machine, as in tests; on any other master that would be read by no other machine, so it is an error.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(shared)
-        return shared
     have = spark.sparkContext.getCheckpointDir()
-    if not have:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestrand-"))
-        have = spark.sparkContext.getCheckpointDir()
-    return have
+    if have:
+        return have
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        shared = tempfile.mkdtemp(prefix="lodestrand-")
+    spark.sparkContext.setCheckpointDir(shared)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:

@@ -49,3 +49,10 @@ def test_round_trip_of_json(spark, lists):
     for i, vs in enumerate(clean):
         if all(" '" not in v and "' " not in v and ",'" not in v and "'," not in v and ";'" not in v and "';" not in v and "|'" not in v and "'|" not in v for v in vs):
             assert got[i] == vs
+
+
+def test_every_character_is_kept_and_any_white_space(spark):
+    own = "".join(map(chr, range(0xE000, 0xE100)))
+    cases = {f'{own},b': [own, "b"], f'"{own[:3]},{own[3:6]}";x': [own[:3] + "," + own[3:6], "x"], "a," + " " * 60 + '"b,c"' + " " * 70 + ";d": ["a", "b,c", "d"], '"a","b","",c': ["a", "b", "c"], "E010": ["E010"]}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r["t"]: r["v"] for r in df.select("t", unpack(F.col("t")).alias("v")).collect()} == cases

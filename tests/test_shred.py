@@ -85,3 +85,27 @@ def test_query_columns(spark, small):
     df = p3_found(spark, small)
     assert df.columns == ["tbl", "rec_id", "parent_path", "path"] and df.count() == df.distinct().count() > 0
     pytest.importorskip("duckdb")
+
+
+def test_places_left_out_however_far(spark):
+    recs = ['{"a": {"0": {}, "5000": {}}}', '{"a": {"3": {"b": {"2": {}, "1000000000000": {}}}, "4": {"b": [{}, 1, {}]}, "70": {"b": {"9": {}}}}}']
+    assert found(spark, recs[:1], ["a[]"]) == [("r0", "", "a/0"), ("r0", "", "a/5000")]
+    want = ["a/3/b/2", "a/3/b/1000000000000", "a/4/b/0", "a/4/b/2", "a/70/b/9"]
+    assert sorted(x[2] for x in found(spark, recs[1:], ["a[].b[]"])) == sorted(want)
+
+
+def test_text_encoded_many_times(spark):
+    rec = '{"a": [{}]}'
+    for _ in range(12):  # each encoding doubles the escapes
+        rec = json.dumps(rec)
+    assert found(spark, [rec], ["a[]"]) == [("r0", "", "a/0")]
+
+
+sparse = st.dictionaries(st.integers(0, 30).map(str), st.dictionaries(st.just("b"), st.dictionaries(st.integers(0, 9).map(str), st.just({}), min_size=1), max_size=1), min_size=1, max_size=5)
+
+
+@settings(max_examples=10, deadline=None)
+@given(recs=st.lists(sparse, min_size=1, max_size=6))
+def test_sparse_places_against_a_walk(spark, recs):
+    want = [(f"r{i}", f"a/{p}", f"a/{p}/b/{q}") for i, r in enumerate(recs) for p, x in r.items() for q in x.get("b", {})]
+    assert found(spark, [json.dumps({"a": r}) for r in recs], ["a[].b[]"]) == sorted(want)
