@@ -25,7 +25,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edge_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of candidate_edges by document: ``doc_id``, ``w``; exact copies of a row count once each, as rows do."""
+    """Rows of candidate_edges by document: ``doc_id``, ``w``; every row counts, copies too, since each is split."""
     return table(spark, sf_dir, "candidate_edges").groupBy(_doc_key().alias("doc_id")).agg(F.count("*").alias("w"))
 
 

@@ -17,10 +17,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Where the vocabulary files are; a parameter of every function here.
+#: Where the driver finds the vocabulary files; a parameter of every function here.
 TOKENIZERS = os.environ.get("LODESTRAND_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that cuts text into pieces, with white space by its Unicode property.
@@ -188,9 +189,11 @@ def load(path: str) -> Bpe:
 def encode(df: DataFrame, key: str, column: str, path: str | None = None, batch_chars: int = 1 << 21) -> DataFrame:
     """``key`` and ``ids`` (array<int>) of every row; rows with equal keys give a row each."""
     file = path or os.path.join(TOKENIZERS, VOCABULARY)
+    df.sparkSession.sparkContext.addFile(file)  # the workers get it from the driver
+    name = os.path.basename(file)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(file)
+        bpe = load(SparkFiles.get(name))
         for b in batches:
             texts = b.column(1).to_pylist()
             at = 0
