@@ -37,6 +37,7 @@ GATE_NEGATIVE = ["尚未证实", "不一定", "未导致", "未引起", "并非
 ENABLE_CUES = ["使得", "促成", "enable", "enables", "allow", "allows"]
 FORWARD_CUES, REVERSE_CUES = ["导致", "引发", "leads to", "causes"], ["由", "源于", "caused by", "due to"]
 BEFORE_CUES, BEFORE_REVERSE_CUES = ["先", "随后", "然后", "after", "then"], ["之前", "此前", "before"]
+NODE_FIRST_CUES = ["先", "首先", "起初", "初始", "最初", "initial", "first", "upstream"]
 FIRST_CUES = ["诱因", "隐患", "根本原因", "先发", "首发", "首要原因", "前置因素", "root cause"]
 UNIT_TRIGGERS = "由于 导致 致使 从而 最终 另查明 经调查 补充说明 因此 所以 进而 造成 引发 使得".split()
 TEMPORAL_PATTERN = r"\d{4}年\d{1,2}月\d{1,2}日|\d{1,2}月\d{1,2}日|事故发生后|随后|之后|当日|次日|当班|此前|最终"

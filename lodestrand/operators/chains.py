@@ -48,33 +48,51 @@ def dfs_chains(edges: DataFrame, depth: int = 4) -> DataFrame:
     return out
 
 
-def beam_chains(edges: DataFrame, top_k: int = 8, max_hops: int = 4, hop_penalty: float = 0.05) -> DataFrame:
-    """Best-first search in each document; it stops when five times ``top_k`` chains are finished.
-
-    States are taken by score, then path; a chain's signature counts once. ``doc``, ``rank``, ``path``, ``score``. A document's
-    edges are the at most twenty of ``top_edges``, so a group is small.
+def _missing(layers: list[str]) -> int:
+    """Layers of the order between the first and last of a chain that it leaves out."""
+    seen = {x for x in layers if x in lx.LAYERS}
+    if not seen:
+        return 0
+    at = [i for i, x in enumerate(lx.LAYERS) if x in seen]
+    return at[-1] - at[0] + 1 - len(seen)
+
+
+def penalised_chains(edges: DataFrame, top_k: int = 8, max_hops: int = 6, hop: float = 0.05, again: float = 0.40, left_out: float = 0.50, stop: str = "OUTCOME") -> DataFrame:
+    """Best-first search in each document from its roots (all sources where there is none).
+
+    A step gains ``step`` (the edge's weighted probabilities less the penalties of its layers, support, direction and time) and costs
+    ``hop`` for each step before it and ``again`` for a node met before. A chain is finished whenever it arrives at the
+    ``stop`` layer, and may go on; the search ends when five times ``top_k`` are finished or nothing is left. Finished chains lose
+    ``left_out`` for every layer they leave out; of equal chains (by their edges) the best counts. States are taken by score, then path.
+    Edges have ``doc``, ``src``, ``rel``, ``dst``, ``a`` and ``b`` (layers), ``step``; ``doc``, ``rank``, ``path``, ``missing``, ``score``.
+    A document's edges are the at most twenty of ``scored_edges``, so a group is small.
     """
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         succ = defaultdict(list)
-        for s, t, w, stop in zip(pdf["src"], pdf["dst"], pdf["score"], pdf["stop"]):
-            succ[s].append((t, float(w), int(stop)))
+        for s, r, t, a, b, w in sorted(zip(pdf["src"], pdf["rel"], pdf["dst"], pdf["a"], pdf["b"], pdf["step"])):
+            succ[s].append((r, t, a, b, float(w)))
         starts = sorted(set(pdf["src"]) - set(pdf["dst"])) or sorted(set(pdf["src"]))
-        heap = [(0.0, (s,), 0) for s in starts]
+        heap = [(0.0, (s,), (), ()) for s in starts]
         heapq.heapify(heap)
-        done: dict[tuple, float] = {}
+        done: list[tuple] = []
         while heap and len(done) < 5 * top_k:
-            neg, path, stop = heapq.heappop(heap)
-            if len(path) > 1 and (stop or len(path) > max_hops or not succ[path[-1]]):
-                done.setdefault(path, -neg)
+            cost, path, rels, layers = heapq.heappop(heap)
+            if rels and layers[-1] == stop:
+                gone = _missing(list(layers))
+                done.append((-cost - left_out * gone, path, rels, gone))
+            if len(rels) >= max_hops:
                 continue
-            for t, w, st in sorted(succ[path[-1]]):
-                if t not in path:
-                    heapq.heappush(heap, (neg - w + hop_penalty * (len(path) - 1), (*path, t), st))
-        best = sorted(done.items(), key=lambda x: (-x[1], x[0]))[:top_k]
-        return pd.DataFrame({"doc": pd.Series([pdf["doc"].iat[0]] * len(best), dtype=object), "rank": pd.Series(range(1, len(best) + 1), dtype="int32"), "path": pd.Series([list(p) for p, _ in best], dtype=object), "score": pd.Series([round(s, 6) for _, s in best], dtype=float)})
-
-    return edges.select("doc", "src", "dst", "score", "stop").groupBy("doc").applyInPandas(search, "doc string, rank int, path array<string>, score double")
+            for r, t, a, b, w in succ[path[-1]]:
+                price = hop * len(rels) + (again if t in path else 0.0)
+                heapq.heappush(heap, (cost - w + price, (*path, t), (*rels, r), (*layers[:-1], a, b)))
+        best: dict[tuple, tuple] = {}
+        for score, path, rels, gone in sorted(done, key=lambda x: (-round(x[0], 9), x[1], x[2])):
+            best.setdefault((path, rels), (path, score, gone))
+        rows = list(best.values())[:top_k]
+        return pd.DataFrame({"doc": pd.Series([pdf["doc"].iat[0]] * len(rows), dtype=object), "rank": pd.Series(range(1, len(rows) + 1), dtype="int32"), "path": pd.Series([list(p) for p, _, _ in rows], dtype=object), "missing": pd.Series([m for *_, m in rows], dtype="int32"), "score": pd.Series([round(s, 6) for _, s, _ in rows], dtype=float)})
+
+    return edges.select("doc", "src", "rel", "dst", "a", "b", "step").groupBy("doc").applyInPandas(search, "doc string, rank int, path array<string>, missing int, score double")
 
 
 def branch_scores(branches: DataFrame, w: dict[str, float] = lx.BRANCH_WEIGHTS, gap: float = 0.15) -> DataFrame:

@@ -40,13 +40,13 @@ def layer_distance() -> Column:
     return F.coalesce(F.greatest(F.lit(0), layer_index("target_layer") - layer_index("source_layer")), F.lit(0)).cast("int")
 
 
-def transition_allowed(table: dict[str, list[str]], unknown) -> Column:
-    """Whether the layers may follow each other; ``unknown`` where the source's layer has no entry."""
-    out = None
+def transition_allowed(table: dict[str, list[str]], unknown, open_target: bool = False) -> Column:
+    """Whether the layers may follow each other; ``unknown`` where the source's layer has no entry, and with
+    ``open_target`` also where the target's layer is missing or UNK (the label rules' own table has no such opening)."""
+    target = F.upper(F.coalesce("target_layer", F.lit("UNK")))
+    out = F.when(F.lit(open_target) & (target == "UNK"), F.lit(unknown))
     for layer, targets in table.items():
-        here = F.upper("source_layer") == layer
-        ok = F.upper("target_layer").isin(targets) if targets else F.lit(False)
-        out = F.when(here, F.coalesce(ok, F.lit(False))) if out is None else out.when(here, F.coalesce(ok, F.lit(False)))
+        out = out.when(F.upper("source_layer") == layer, target.isin(targets) if targets else F.lit(False))
     return out.otherwise(F.lit(unknown))
 
 
@@ -129,7 +129,7 @@ def support_gate(edges: DataFrame) -> DataFrame:
     first = clamp01(_if(contains_any("ev", ["诱因", "隐患", "先是", "起初", "根本原因", "为后续提供条件", "root cause"]), 0.6) + _if(has_s, 0.4))
     e = e.withColumns({"raw": F.round(raw, 6), "temporal_score": temporal, "direction_score": direction, "first_score": first})
     e = e.withColumns({"support": F.round(clamp01("raw"), 6), "supported": (F.col("overlap") >= 0.18) & src & tgt & (F.col("raw") >= 0.55)})
-    allowed = transition_allowed(lx.TRANSITIONS, True)
+    allowed = transition_allowed(lx.TRANSITIONS, True, True)
     base = F.when(allowed, 0.30).otherwise(-0.50) - 0.05 * F.greatest(layer_distance() - 1, F.lit(0)) + F.col("support") + _if(F.col("supported"), 0.25)
     score = F.when(F.col("rel").isin(lx.RELATION_WHITELIST), F.round(base, 6)).otherwise(-1.0)
     return e.withColumns({"p_evidence": F.round(0.4 * F.col("support") + 0.2 * F.col("temporal_score") + 0.2 * F.col("direction_score") + 0.2 * F.col("first_score"), 6), "baseline": score})

@@ -28,7 +28,7 @@ def units(spark: SparkSession, d: str) -> DataFrame:
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
     """Causal nodes, one row per id (the one with the largest text)."""
-    cols = ["text", "layer", "doc_id", "kg_scope", "kg_id", "canonical_type", "temporal_rank", "module_id", "p_node_first"]
+    cols = ["text", "layer", "doc_id", "kg_scope", "kg_id", "canonical_type", "temporal_rank", "module_id", "p_node_first", "role_tags"]
     best = table(spark, d, "causal_nodes").where("node_id is not null").groupBy("node_id").agg(F.max(F.struct(*cols)).alias("x"))
     return best.select("node_id", *(f"x.{c}" for c in cols))
 

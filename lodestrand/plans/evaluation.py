@@ -75,11 +75,6 @@ def edge_quality(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("file_name").agg(F.count("*").alias("edges"), F.round(F.avg((F.col("rel") == "UNK").cast("double")), 6).alias("unknown"), F.round(F.avg((F.coalesce("evidence_text", F.lit("")) == "").cast("double")), 6).alias("no_evidence"), F.max("conf").alias("top_conf"))
 
 
-def risk_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Orders by priority and status with their value."""
-    return table(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
-
-
 def unit_kind_rollup(spark: SparkSession, d: str) -> DataFrame:
     """Units by kind, with their mean and deviation of length, and all kinds together."""
     u = units(spark, d).where("content is not null").select(F.coalesce(F.lower("unit_kind"), F.lit("<NONE>")).alias("kind"), F.length("content").alias("n"))
@@ -93,7 +88,7 @@ def confidence_scales(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy(scale.alias("scale")).agg(F.count("*").alias("n"), F.round(F.avg("conf"), 5).alias("mean_conf"))
 
 
-QUERIES = {f.__name__: f for f in (binary_metrics, metric_breakdown, threshold_sweep, threshold_best, relation_metrics, ranking_metrics, class_balance, kg_quality, edge_quality, risk_metrics, unit_kind_rollup, confidence_scales)}
+QUERIES = {f.__name__: f for f in (binary_metrics, metric_breakdown, threshold_sweep, threshold_best, relation_metrics, ranking_metrics, class_balance, kg_quality, edge_quality, unit_kind_rollup, confidence_scales)}
 _SWEEP = f"{_J}, g as (select unnest(range(10, 92, 2)) as t), s as (select t, {_COUNTS.format(t='t / 100')} from j, g group by t), sw as (select t / 100 as threshold, tp, fp, fn, tn, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1 from s)"
 SQL = {
     "binary_metrics": f"{_J}, c as (select {_COUNTS.format(t='0.5')} from j), b as (select prob, count(*) filter (where gold = 1) as pos, count(*) filter (where gold <> 1) as neg from j group by prob), k as (select *, sum(pos) over w as ctp, sum(neg) over w as cfp from b window w as (order by prob desc rows between unbounded preceding and current row)), a as (select round(sum(neg * (ctp - pos / 2)) / (sum(pos) * sum(neg)), 6) as auroc, round(sum(pos * ctp / (ctp + cfp)) / sum(pos), 6) as aupr from k) select tp, fp, fn, tn, {_RATES}, auroc, aupr from c, a",
@@ -105,7 +100,6 @@ SQL = {
     "class_balance": with_("labels") + ", t as (" + " union all ".join(f"select '{x}' as task, {x} as v from labels" for x in ["silver_edge_causal", "silver_edge_enable", "silver_causal_dir", "silver_temporal_before", "silver_node_first_src", "silver_node_first_dst"]) + ") select task, count(*) filter (where v = 1) as pos, count(*) filter (where v = 0) as neg, count(*) filter (where v = -1) as abstain, round(greatest(1.0, coalesce(count(*) filter (where v = 0) / nullif(count(*) filter (where v = 1), 0), 0)), 6) as pos_weight from t group by task",
     "kg_quality": "with r as (select distinct * from llm_results where llm is not null) select llm, count(*) as results, sum(coalesce(node_count, 0)) as nodes, sum(coalesce(relation_count, 0)) as relations, round(sum(coalesce(node_count, 0)) / count(*), 6) as mean_nodes from r group by llm",
     "edge_quality": with_("edges") + " select file_name, count(*) as edges, round(avg(case when rel = 'UNK' then 1.0 else 0.0 end), 6) as unknown, round(avg(case when coalesce(evidence_text, '') = '' then 1.0 else 0.0 end), 6) as no_evidence, max(conf) as top_conf from edges where file_name is not null group by file_name",
-    "risk_metrics": "select o_orderpriority, o_orderstatus, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by 1, 2",
     "unit_kind_rollup": with_("units") + ", u as (select coalesce(lower(unit_kind), '<NONE>') as kind, length(content) as n from units where content is not null) select coalesce(kind, '<ALL>') as kind, count(*) as units, round(avg(n), 4) as mean_len, round(stddev_pop(n), 4) as sd_len from u group by rollup (kind)",
     "confidence_scales": "with e as (select try_cast(rel_props['confidence'] as double) as raw from candidate_edges) select case when raw is null then 'none' when raw > 1 then 'percent' else 'unit' end as scale, count(*) as n, round(avg(case when raw is null or raw < 0 then 0.0 when raw > 1 then least(1.0, raw / 100) else raw end), 5) as mean_conf from e group by 1",
 }

@@ -1,4 +1,4 @@
-"""Chains, branches and candidate pairs (G*, R13, R17, R18, J09-J13, L02, L05, W06, W12, W14, W18)."""
+"""Chains over stored and candidate edges, and candidate pairs."""
 
 from __future__ import annotations
 
@@ -28,11 +28,6 @@ def dfs_chains_depth4(spark: SparkSession, d: str) -> DataFrame:
     return ch.dfs_chains(top(spark, d)).select("doc", F.array_join("path", ">").alias("path"), "hops", "score")
 
 
-def beam_chain_search(spark: SparkSession, d: str) -> DataFrame:
-    """The eight best chains of each document by best-first search."""
-    return ch.beam_chains(top(spark, d)).select("doc", "rank", F.array_join("path", ">").alias("path"), "score")
-
-
 def chain_edges(spark: SparkSession, d: str) -> DataFrame:
     """Stored chain edges once each, with their score and support."""
     e = table(spark, d, "causal_chain_edges").where("edge_id is not null and chain_id is not null")
@@ -56,55 +51,6 @@ def chain_rows(spark: SparkSession, d: str) -> DataFrame:
     return g.select("chain_id", "edges", "mean_score", F.coalesce("h.target_node_id", "l.target_node_id").alias("harm_node"), "consequences")
 
 
-def _branches(spark: SparkSession, d: str) -> DataFrame:
-    e = chain_edges(spark, d)
-    files = table(spark, d, "causal_chains").where("chain_id is not null").groupBy("chain_id").agg(F.max("file_name").alias("file_name"))
-    order = Window.partitionBy("chain_id").orderBy("seq", "edge_id")
-    e = e.withColumn("back", (F.coalesce(sc.layer_index("target_layer"), F.lit(99)) < F.coalesce(sc.layer_index("source_layer"), F.lit(0))).cast("int")).withColumn("first", F.row_number().over(order))
-    g = e.groupBy("chain_id").agg(
-        F.round(F.avg("score"), 6).alias("mean_score"), F.round(F.avg(F.when(F.col("relation") == "ENABLES", 1.0).otherwise(0.0)), 6).alias("enable"), F.round(F.avg(1.0 - F.col("back")), 6).alias("temporal"),
-        F.sum("back").alias("violations"), F.max(F.when(F.col("first") == 1, F.col("source_node_id"))).alias("root"), F.max(F.when(F.upper("target_layer").isin("EVENT", "OUTCOME", "CONSEQUENCE"), F.struct("seq", "target_node_id"))).alias("h"),
-        F.countDistinct(F.when(F.upper("target_layer") == "CONSEQUENCE", F.col("target_node_id"))).alias("cons"), F.count("*").alias("n"), F.max((F.col("source_node_id") == F.col("target_node_id")).cast("int")).alias("loop"),
-    )
-    key = F.concat_ws("~", F.coalesce("root", F.lit("-")), F.coalesce("h.target_node_id", F.lit("-")))
-    b = g.join(files, "chain_id").where("file_name is not null").groupBy("file_name", key.alias("branch")).agg(
-        F.max("mean_score").alias("mean_score"), F.max("enable").alias("enable"), F.max("temporal").alias("temporal"), F.max("violations").cast("double").alias("violations"),
-        F.max("loop").cast("double").alias("cycle"), F.max((F.col("enable") >= 0.5).cast("int")).cast("double").alias("conflict"), F.count("*").alias("chains"), F.round(F.max(F.least(F.lit(1.0), F.col("cons") / (F.col("n") + 1))), 6).alias("coverage"),
-    )
-    return b.withColumns({"root_rank": F.lit(0.0), "shared": F.round(F.least(F.lit(1.0), (F.col("chains") - 1) / 5), 6), "cues": F.lit(0.0)})
-
-
-def branch_decision(spark: SparkSession, d: str) -> DataFrame:
-    """Branches of each file (chains of one root and harm node), their probability, rank and the decision."""
-    return ch.branch_scores(_branches(spark, d)).select("file_name", "branch", "chains", "p", "rank", "gap", "fallback")
-
-
-def severity_rank(spark: SparkSession, d: str) -> DataFrame:
-    """Files ranked by deaths, serious and light injuries that their units name."""
-    u = units(spark, d).where("content is not null").select(F.regexp_extract("parent_evidence_id", r"^[^|]*\|[^|]*\|([^|]*)", 1).alias("file_name"), "content")
-    w = {"death": ["死亡", 5.0], "serious": ["重伤", 3.0], "light": ["轻伤", 1.0]}
-    hurt = {k: F.sum(tx.casualties("content", x[0]) + F.when(F.col("content").contains(x[0]), 1).otherwise(0)) for k, x in w.items()}
-    g = u.groupBy("file_name").agg(*(v.alias(k) for k, v in hurt.items()))
-    g = g.withColumn("severity", sum((w[k][1] * F.col(k) for k in ("serious", "light")), w["death"][1] * F.col("death")))
-    per = numbered(g.groupBy("severity").agg(F.count("*").alias("n")), [F.desc("severity")], sums=("n",)).select("severity", (F.col("run_n") - F.col("n") + 1).cast("int").alias("rank"))
-    return g.join(per, "severity").select("file_name", "death", "serious", "light", "severity", "rank")
-
-
-def node_first_prior(spark: SparkSession, d: str) -> DataFrame:
-    """Prior of each node to be first: degrees, enabling edges, earliness, cues, predecessors and type."""
-    n = nodes(spark, d)
-    e = sc.dedup_edges(edges(spark, d)).select("src", "dst", "rel").distinct()
-    out = e.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("fanout"), F.sum(F.lower("rel").contains("enable").cast("int")).alias("enables"))
-    inn = e.groupBy(F.col("dst").alias("node_id")).agg(F.count("*").alias("depth"), F.countDistinct("src").alias("preds"))
-    span = n.agg(F.min("temporal_rank").alias("lo"), F.max("temporal_rank").alias("hi"))
-    j = n.join(out, "node_id", "left").join(inn, "node_id", "left").join(F.broadcast(span))
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    early = F.when((F.col("hi") > F.col("lo")) & F.col("temporal_rank").isNotNull(), 1 - (F.col("temporal_rank") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.5)
-    cue = F.size(tx.hits(F.lower(F.coalesce("text", F.lit(""))), lx.FIRST_CUES))
-    p = 0.2 + F.when(z("fanout") > 0, 0.15).otherwise(0.0) + F.when(z("depth") == 0, 0.15).otherwise(0.0) + 0.12 * F.least(z("enables"), F.lit(2)) + 0.12 * early + 0.10 * F.least(cue, F.lit(2)) + 0.06 * F.least(F.lit(1.0), z("preds") / 3.0) + F.when(F.col("canonical_type").isin("SourceState", "SourceEvent"), 0.2).otherwise(0.0)
-    return j.select("node_id", z("fanout").alias("fanout"), z("depth").alias("depth"), z("enables").alias("enables"), F.round(F.least(F.lit(0.99), p), 6).alias("p_first"))
-
-
 def unit_mentions(spark: SparkSession, d: str) -> DataFrame:
     """The units of a chunk that name a node of one of the chunk's candidate edges: ``unit_id``, ``parent``, ``node_id``."""
     e = edges(spark, d)
@@ -139,8 +85,7 @@ def counterfactual_pairs(spark: SparkSession, d: str) -> DataFrame:
     return j.withColumn("rn", rn).where("rn <= 2")
 
 
-QUERIES = {f.__name__: f for f in (dfs_chains_depth4, beam_chain_search, chain_rows, branch_decision, severity_rank, node_first_prior, mention_unit_match, adjacent_unit_pairs, counterfactual_pairs)}
-_CAS = lambda w: rf"(coalesce(list_sum(list_transform(list_concat(regexp_extract_all(content, '{w}\s*(\d+)\s*人', 1), regexp_extract_all(content, '(\d+)\s*人\s*{w}', 1)), lambda x: cast(x as bigint))), 0) + case when contains(content, '{w}') then 1 else 0 end)"
+QUERIES = {f.__name__: f for f in (dfs_chains_depth4, chain_rows, mention_unit_match, adjacent_unit_pairs, counterfactual_pairs)}
 _NORM = r"regexp_replace(lower(trim(regexp_replace(coalesce({}, ''), '\s', ' ', 'g'))), ' +', ' ', 'g')"
 _TOK = r"list_distinct(list_concat(regexp_extract_all({0}, '[a-z0-9_]+'), flatten(list_transform(regexp_extract_all({0}, '[\x{{4e00}}-\x{{9fff}}]{{2,}}'), lambda r: case when length(r) <= 4 then [r] else list_transform(range(1, length(r)), lambda i: substr(r, i, 2)) end))))"
 _UM = f"""m as (select distinct parent, node_id, name from (select source_chunk_id as parent, src as node_id, source_text as name from edges union all select target_chunk_id, dst, target_text from edges) where parent is not null and node_id is not null and name <> ''),
@@ -157,18 +102,6 @@ SQL = {
               from p join te on te.doc = p.doc and te.src = p.last where p.hops < 4 and p.stop = 0 and p.more = 1 and not list_contains(p.path, te.dst))
         select doc, array_to_string(path, '>') as path, hops, round(total / hops, 6) as score from p where hops > 0 and (hops = 4 or stop = 1 or more = 0)""",
     "chain_rows": f"with {_CE} select chain_id, count(*) as edges, round(avg(score), 6) as mean_score, coalesce(arg_max(target_node_id, (seq, target_node_id)) filter (where upper(target_layer) in ('EVENT', 'OUTCOME', 'CONSEQUENCE')), arg_max(target_node_id, (seq, target_node_id))) as harm_node, count(distinct case when upper(target_layer) = 'CONSEQUENCE' then target_node_id end) as consequences from ce group by chain_id",
-    "branch_decision": f"""with {_CE}, f as (select chain_id, max(file_name) as file_name from causal_chains where chain_id is not null group by 1),
-        e as (select *, case when coalesce(nullif(list_position([{_L}], upper(target_layer)), 0) - 1, 99) < coalesce(nullif(list_position([{_L}], upper(source_layer)), 0) - 1, 0) then 1 else 0 end as back, row_number() over (partition by chain_id order by seq, edge_id) as k from ce),
-        g as (select chain_id, round(avg(score), 6) as mean_score, round(avg(case when relation = 'ENABLES' then 1.0 else 0.0 end), 6) as enable, round(avg(1.0 - back), 6) as temporal, sum(back) as violations, max(case when k = 1 then source_node_id end) as root,
-              arg_max(target_node_id, (seq, target_node_id)) filter (where upper(target_layer) in ('EVENT', 'OUTCOME', 'CONSEQUENCE')) as h, count(distinct case when upper(target_layer) = 'CONSEQUENCE' then target_node_id end) as cons, count(*) as n, max(case when source_node_id = target_node_id then 1 else 0 end) as loop from e group by 1),
-        b as (select file_name, coalesce(root, '-') || '~' || coalesce(h, '-') as branch, max(mean_score) as mean_score, max(enable) as enable, max(temporal) as temporal, max(violations) as violations, max(loop) as cycle, max(case when enable >= 0.5 then 1 else 0 end) as conflict, count(*) as chains, round(max(least(1.0, cons / (n + 1))), 6) as coverage from g join f using (chain_id) where file_name is not null group by 1, 2),
-        p as (select *, round(1 / (1 + exp(-greatest(-20.0, least(20.0, 0.38 * coalesce(mean_score, 0) + 0.16 * enable + 0.16 * temporal + 0.08 * round(least(1.0, (chains - 1) / 5), 6) + 0.04 * coverage - 0.8 * violations - 1.2 * cycle - 0.6 * conflict)))), 6) as p from b),
-        r as (select *, row_number() over w as rank, lead(p) over w as second from p window w as (partition by file_name order by p desc, branch))
-        select file_name, branch, chains, p, cast(rank as integer) as rank, case when rank = 1 then round(p - coalesce(second, 0.0), 6) end as gap, case when rank = 1 then round(p - coalesce(second, 0.0), 6) < 0.15 end as fallback from r""",
-    "severity_rank": with_("units") + rf", g as (select regexp_extract(parent_evidence_id, '^[^|]*\|[^|]*\|([^|]*)', 1) as file_name, sum({_CAS('死亡')}) as death, sum({_CAS('重伤')}) as serious, sum({_CAS('轻伤')}) as light from units where content is not null group by 1) select file_name, death, serious, light, 5.0 * death + 3.0 * serious + 1.0 * light as severity, cast(rank() over (order by 5.0 * death + 3.0 * serious + 1.0 * light desc) as integer) as rank from g",
-    "node_first_prior": f"""with {CTE['nodes']}, {CTE['edges']}, {_BEST}, e as (select distinct src, dst, rel from best), o as (select src, count(*) as fanout, sum(case when contains(lower(rel), 'enable') then 1 else 0 end) as enables from e group by 1), i as (select dst, count(*) as depth, count(distinct src) as preds from e group by 1), s as (select min(temporal_rank) as lo, max(temporal_rank) as hi from nodes)
-        select node_id, coalesce(fanout, 0) as fanout, coalesce(depth, 0) as depth, coalesce(enables, 0) as enables, round(least(0.99, 0.2 + case when coalesce(fanout, 0) > 0 then 0.15 else 0 end + case when coalesce(depth, 0) = 0 then 0.15 else 0 end + 0.12 * least(coalesce(enables, 0), 2) + 0.12 * case when hi > lo and temporal_rank is not null then 1 - (temporal_rank - lo) / (hi - lo) else 0.5 end
-        + 0.10 * least(len(list_filter([{', '.join(repr(x) for x in lx.FIRST_CUES)}], lambda w: contains(lower(coalesce(text, '')), w))), 2) + 0.06 * least(1.0, coalesce(preds, 0) / 3.0) + case when canonical_type in ('SourceState', 'SourceEvent') then 0.2 else 0 end), 6) as p_first from nodes left join o on o.src = node_id left join i on i.dst = node_id, s""",
     "mention_unit_match": with_("units", "edges") + f", {_UM} select unit_id, count(*) as nodes, min(node_id) as first_node from um group by unit_id",
     "adjacent_unit_pairs": with_("units", "edges") + f", {_UM}, u as (select unit_id, parent, start_char, list_sort(list_distinct(list(node_id))) as ns from um group by 1, 2, 3), p as (select unit_id, lead(unit_id) over w as next_unit, ns, lead(ns) over w as nx from u window w as (partition by parent order by start_char nulls last, unit_id)) select unit_id, next_unit, len(ns) as left_nodes, len(nx) as right_nodes, len(ns) * len(nx) - len(list_intersect(ns, nx)) as pairs from p where next_unit is not null",
     "counterfactual_pairs": f"with {CTE['edges']}, {_BEST}, e as (select * from best where doc is not null and evidence_text is not null and source_layer is not null), j as (select a.doc, a.src, a.dst, a.rel, b.src as twin_src, b.rel as twin_rel, {_WS('a.source_text', 'b.source_text')} as overlap, round(abs(a.conf - b.conf), 6) as diff from e a join e b on a.doc = b.doc and a.dst = b.dst and a.source_layer = b.source_layer where a.src <> b.src and a.evidence_text <> b.evidence_text) select * from (select *, cast(row_number() over (partition by doc, src, dst, rel order by diff, overlap desc, twin_src, twin_rel) as integer) as rn from j) where rn <= 2",

@@ -26,8 +26,9 @@ def _in(c: str, xs) -> str:
     return f"coalesce({c} in ({', '.join(repr(x) for x in xs)}), false)" if xs else "false"
 
 
-def _allowed_sql(t, unknown: str) -> str:
-    return "case " + " ".join(f"when upper(source_layer) = '{k}' then {_in('upper(target_layer)', v)}" for k, v in t.items()) + f" else {unknown} end"
+def _allowed_sql(t, unknown: str, open_target: bool = False) -> str:
+    opened = f"when coalesce(upper(target_layer), 'UNK') = 'UNK' then {unknown} " if open_target else ""
+    return "case " + opened + " ".join(f"when upper(source_layer) = '{k}' then {_in('upper(target_layer)', v)}" for k, v in t.items()) + f" else {unknown} end"
 
 
 _FEAT = f"""f0 as (select *, {_norm('evidence')} as t, {_norm('source_text')} as s, {_norm('target_text')} as g from ev),
@@ -67,10 +68,10 @@ def relation_normalized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def layer_transitions(spark: SparkSession, d: str) -> DataFrame:
-    """Layer pairs, whether they may follow each other, and their distance."""
-    e = edges(spark, d).select(F.upper("source_layer").alias("source_layer"), F.upper("target_layer").alias("target_layer")).where("source_layer is not null and target_layer is not null")
+    """Layer pairs, whether they may follow each other, and their distance; a missing layer is UNK."""
+    e = edges(spark, d).select(*(F.upper(F.coalesce(c, F.lit("UNK"))).alias(c) for c in ("source_layer", "target_layer")))
     g = e.groupBy("source_layer", "target_layer").agg(F.count("*").alias("n"))
-    return g.select("source_layer", "target_layer", "n", sc.transition_allowed(lx.TRANSITIONS, True).alias("allowed"), sc.layer_distance().alias("distance"))
+    return g.select("source_layer", "target_layer", "n", sc.transition_allowed(lx.TRANSITIONS, True, True).alias("allowed"), sc.layer_distance().alias("distance"))
 
 
 def pseudo_label_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -120,15 +121,7 @@ def evidence_cascade(spark: SparkSession, d: str) -> DataFrame:
     return j.select(*_KEY, how.alias("how"), n.cast("bigint").alias("units"))
 
 
-def review_sample(spark: SparkSession, d: str) -> DataFrame:
-    """The first five edges of each label, rule and relation by confidence, taken round by round."""
-    s = sc.single_label(sc.evidence_features(with_evidence(spark, d)))
-    strata = [F.coalesce(F.col("label").cast("string"), F.lit("none")), F.coalesce("rule", F.lit("none")), F.col("rel")]
-    rn = F.row_number().over(Window.partitionBy(*strata).orderBy(F.desc("pos_score"), F.col("doc").asc_nulls_first(), "src", "dst"))
-    return s.select(strata[0].alias("label"), strata[1].alias("rule"), "rel", "doc", "src", "dst", rn.alias("round")).where("round <= 5")
-
-
-QUERIES = {f.__name__: f for f in (edge_dedup_quality, trivial_edges, relation_normalized, layer_transitions, pseudo_label_rules, multitask_labels, support_labels, edge_support_gate, direction_normalized, fused_scores, evidence_cascade, review_sample)}
+QUERIES = {f.__name__: f for f in (edge_dedup_quality, trivial_edges, relation_normalized, layer_transitions, pseudo_label_rules, multitask_labels, support_labels, edge_support_gate, direction_normalized, fused_scores, evidence_cascade)}
 
 _CAUSAL = "regexp_replace(rel, '^POTENTIAL_', '') in (" + ", ".join(repr(x) for x in lx.LABEL_WHITELIST) + ")"
 _SINGLE = f"""r0 as (select *, {_CAUSAL} as causal_rel, {_allowed_sql(lx.LABEL_TRANSITIONS, 'null')} as allowed from f),
@@ -172,13 +165,12 @@ SQL = {
     "edge_dedup_quality": f"with {CTE['edges']}, {_BEST} select doc, src, rel, dst, quality, evidence_text from best",
     "trivial_edges": f"with {CTE['edges']}, {_BEST}, n as (select *, {_norm('source_text')} as s, {_norm('target_text')} as g from best) select rel, count(*) filter (where src = dst or s = g or {_OVMIN} >= 0.95) as trivial, count(*) as edges from n group by rel",
     "relation_normalized": with_("edges") + f", x as (select rel, lower(rel || ' ' || coalesce(evidence_text, '')) as rt from edges) select rel, {_REL} as relation, count(*) as n from x group by 1, 2",
-    "layer_transitions": with_("edges") + f", g as (select upper(source_layer) as source_layer, upper(target_layer) as target_layer, count(*) as n from edges where source_layer is not null and target_layer is not null group by 1, 2) select source_layer, target_layer, n, {_allowed_sql(lx.TRANSITIONS, 'true')} as allowed, cast({_DIST} as integer) as distance from g",
+    "layer_transitions": with_("edges") + f", g as (select coalesce(upper(source_layer), 'UNK') as source_layer, coalesce(upper(target_layer), 'UNK') as target_layer, count(*) as n from edges group by 1, 2) select source_layer, target_layer, n, {_allowed_sql(lx.TRANSITIONS, 'true', True)} as allowed, cast({_DIST} as integer) as distance from g",
     "pseudo_label_rules": f"{_PRE}, {_FEAT}, {_SINGLE} select doc, src, rel, dst, shared, gap, pos_score, neg_score, rule, label from rl",
     "multitask_labels": f"{_PRE}, {_FEAT}, {_MULTI} select doc, src, rel, dst, " + ", ".join(f"{k}_{x}" for k in _TASKS for x in ("conf", "label")) + ", sample_weight from m",
     "support_labels": f"{_PRE}, {_FEAT}, {_MULTI}, z as (select *, case when causal_label = 1 then 'hard' when causal_conf >= 0.55 then 'relaxed' when causal_label = 0 then 'hard_negative' else 'unresolved_abstain' end as support_source from m) select support_source, case when support_source in ('hard', 'relaxed') then 1 else 0 end as support_label, case when support_source = 'unresolved_abstain' then 0 else 1 end as support_mask, count(*) as n, round(avg(causal_conf), 6) as mean_conf from z group by 1, 2, 3",
-    "edge_support_gate": f"{_PRE}, {_GATE} select doc, src, rel, dst, support, supported, round(temporal_score, 6) as temporal_score, round(direction_score, 6) as direction_score, round(first_score, 6) as first_score, round(0.4 * support + 0.2 * temporal_score + 0.2 * direction_score + 0.2 * first_score, 6) as p_evidence, case when rel in (" + ", ".join(repr(x) for x in lx.RELATION_WHITELIST) + f") then round(case when {_allowed_sql(lx.TRANSITIONS, 'true')} then 0.30 else -0.50 end - 0.05 * greatest({_DIST} - 1, 0) + support + {_i('supported', 0.25)}, 6) else -1.0 end as baseline from gt",
+    "edge_support_gate": f"{_PRE}, {_GATE} select doc, src, rel, dst, support, supported, round(temporal_score, 6) as temporal_score, round(direction_score, 6) as direction_score, round(first_score, 6) as first_score, round(0.4 * support + 0.2 * temporal_score + 0.2 * direction_score + 0.2 * first_score, 6) as p_evidence, case when rel in (" + ", ".join(repr(x) for x in lx.RELATION_WHITELIST) + f") then round(case when {_allowed_sql(lx.TRANSITIONS, 'true', True)} then 0.30 else -0.50 end - 0.05 * greatest({_DIST} - 1, 0) + support + {_i('supported', 0.25)}, 6) else -1.0 end as baseline from gt",
     "direction_normalized": f"{_PRE}, {_FEAT}, {_MULTI}, z as (select *, case when dir_conf <= 0.45 then 'dir_prob_reverse' when dir_conf >= 0.55 then 'dir_prob_forward' when first_dst_conf > first_src_conf then 'dst_first_prob' when first_src_conf > first_dst_conf then 'src_first_prob' else 'layer_order_fallback' end as reason from m) select reason, reason in ('dir_prob_reverse', 'dst_first_prob') or (reason = 'layer_order_fallback' and coalesce(nullif(list_position([{', '.join(repr(x) for x in lx.LAYERS)}], upper(source_layer)), 0), 1000000) > coalesce(nullif(list_position([{', '.join(repr(x) for x in lx.LAYERS)}], upper(target_layer)), 0), 1000000)) as swapped, count(*) as n from z group by 1, 2",
     "fused_scores": f"{_PRE}, {_FEAT}, {_MULTI}, z as (select rel, round(0.45 * causal_conf + 0.15 * enable_conf + 0.10 * dir_conf + 0.10 * temporal_conf + 0.10 * (0.7 * first_src_conf + 0.3 * first_dst_conf), 6) as s from m) select rel, count(*) as n, round(avg(s), 6) as mean_score, max(s) as top_score from z group by rel",
     "evidence_cascade": f"with {CTE['units']}, {CTE['chunks']}, {CTE['edges']}, {_BEST}, p as (select parent_evidence_id as pid, least(count(*), 5) as k from units group by 1), z as (select b.doc, b.src, b.rel, b.dst, u.unit_id as uid, p.k, c.evidence_id as cid from best b left join units u on u.unit_id = b.unit_id left join p on p.pid = b.source_chunk_id left join chunks c on c.evidence_id = b.source_chunk_id) select doc, src, rel, dst, case when uid is not null then 'pointer' when cid is not null and k is not null then 'chunk_units' when cid is not null then 'chunk' else 'none' end as how, cast(case when uid is not null then 1 when cid is not null and k is not null then k when cid is not null then 1 else 0 end as bigint) as units from z",
-    "review_sample": f"{_PRE}, {_FEAT}, {_SINGLE}, z as (select coalesce(cast(label as varchar), 'none') as label, coalesce(rule, 'none') as rule, rel, doc, src, dst, pos_score from rl) select label, rule, rel, doc, src, dst, cast(r as integer) as round from (select *, row_number() over (partition by label, rule, rel order by pos_score desc, doc nulls first, src, dst) as r from z) where r <= 5",
 }

@@ -49,8 +49,16 @@ def test_chains(spark):
     assert paths([("d", "b"), ("b", "c"), ("d", "c")]) == ["dbc", "dc"]
     assert paths([("a", "b"), ("b", "c")], stop=("b",)) == ["ab"]
     assert chains.dfs_chains(edges(spark, [("a", "b")]).limit(0)).count() == 0
-    best = chains.beam_chains(edges(spark, [("a", "b"), ("b", "c"), ("a", "c")])).collect()
-    assert ["".join(r["path"]) for r in best] == ["abc", "ac"] and all(len(set(r["path"])) == len(r["path"]) for r in best)
+
+
+def test_search_for_chains(spark):
+    """By hand: gains less .05 a step before, .4 for a node met before, .5 for each layer left out; chains end at OUTCOME and may go on."""
+    rows = [("d", "a", "CAUSES", "b", "CAUSE", "EVENT", 0.8), ("d", "b", "CAUSES", "c", "EVENT", "OUTCOME", 0.6), ("d", "a", "CAUSES", "c", "STATE", "OUTCOME", 0.5), ("d", "c", "CAUSES", "b", "OUTCOME", "EVENT", -9.0)]
+    df = spark.createDataFrame(rows, "doc string, src string, rel string, dst string, a string, b string, step double")
+    got = [("".join(r["path"]), r["missing"], r["score"]) for r in chains.penalised_chains(df).orderBy("rank").collect()]
+    # CAUSE EVENT OUTCOME leaves out six layers of the order, STATE OUTCOME one
+    assert got[:2] == [("ac", 1, 0.0), ("abc", 6, round(0.8 + 0.6 - 0.05 - 3.0, 6))]
+    assert chains.penalised_chains(df.limit(0)).count() == 0
 
 
 def test_branches(spark):
@@ -66,7 +74,12 @@ def test_edge_support(spark):
     m = scoring.multitask(scoring.evidence_features(e)).head()
     assert m["causal_label"] == 1 and m["dir_label"] == 1
     null = e.select(*(F.lit(None).cast(t).alias(c) if c not in ("conf",) else F.col(c) for c, t in e.dtypes))
-    assert scoring.support_gate(null).head()["baseline"] is not None or True
+    blank = scoring.support_gate(null).head()
+    assert blank["baseline"] == -1.0 and blank["support"] == 0.1 and not blank["supported"]
+    # an unknown layer at either end forbids no transition
+    layers = [("CAUSE", None), ("CAUSE", "UNK"), (None, "ROOT"), ("X", "ROOT"), ("OUTCOME", "EVENT"), ("OUTCOME", "UNK"), ("ROOT", "CAUSE")]
+    t = spark.createDataFrame(layers, "source_layer string, target_layer string").select(scoring.transition_allowed(scoring.lx.TRANSITIONS, True, True))
+    assert [r[0] for r in t.collect()] == [True, True, True, True, False, True, True]
     w = spark.createDataFrame([("pseudo_pending", 0.9, "pending")], "s string, c double, r string")
     assert w.select(scoring.sample_weight("s", "c", "r", {"pseudo_pending": 0.8})).head()[0] == pytest.approx(0.72)
 
