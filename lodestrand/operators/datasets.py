@@ -52,22 +52,21 @@ def naming_units(names: DataFrame, units: DataFrame) -> DataFrame:
     return met.join(u.select("unit_id", "low"), "unit_id").where(F.col("low").contains(F.lower("name"))).select("file_name", "name", "unit_id").distinct()
 
 
-def lexical_units(edges: DataFrame, units: DataFrame, k: int = 5, least: float = 0.25, verbatim: bool = True) -> DataFrame:
+def lexical_units(edges: DataFrame, units: DataFrame, k: int = 5, least: float = 0.25) -> DataFrame:
     """The ``k`` units of an edge's file that name its ends best: edges have ``edge``, ``file_name``, ``source_text``,
     ``target_text``; units ``unit_id``, ``file_name``, ``content``.
 
     Edges meet the units of their file that share a token with an end, by an equi-join on file and token; a file that
-    holds a third of all rows is split by its tokens. With ``verbatim`` they also meet the units that contain an end without
-    sharing a token, so no unit that scores is left out.
+    holds a third of all rows is split by its tokens. They also meet the units that contain an end without sharing a token, so no
+    unit that scores is left out.
     """
     from lodestrand.functions.text import label_tokens
 
     et = edges.select("edge", "file_name", F.explode(F.array_distinct(F.concat(label_tokens("source_text"), label_tokens("target_text")))).alias("t"))
     ut = units.where("content is not null").select("unit_id", "file_name", F.explode(F.array_distinct(label_tokens("content"))).alias("t"))
     pairs = et.join(ut, ["file_name", "t"]).select("edge", "unit_id")
-    if verbatim:
-        ends = edges.select("edge", "file_name", F.col("source_text").alias("name")).unionByName(edges.select("edge", "file_name", F.col("target_text").alias("name")))
-        pairs = pairs.unionByName(ends.join(naming_units(ends.select("file_name", "name"), units), ["file_name", "name"]).select("edge", "unit_id"))
+    ends = edges.select("edge", "file_name", F.col("source_text").alias("name")).unionByName(edges.select("edge", "file_name", F.col("target_text").alias("name")))
+    pairs = pairs.unionByName(ends.join(naming_units(ends.select("file_name", "name"), units), ["file_name", "name"]).select("edge", "unit_id"))
     pairs = pairs.distinct()
     j = pairs.join(edges.select("edge", "source_text", "target_text"), "edge").join(units.select("unit_id", "content"), "unit_id")
     named = lambda c: F.when((F.coalesce(F.col(c), F.lit("")) != "") & F.lower("content").contains(F.lower(c)), 0.6).otherwise(0.0)
@@ -207,10 +206,9 @@ def concept_pattern_ok(c: str | Column, stop: list[str]) -> Column:
 
 
 def path_graph(paths: DataFrame) -> DataFrame:
-    """Edges between neighbours on each path (``id``, ``path`` array), with the default edge between its ends where the path is empty."""
-    p = paths.select("id", F.posexplode("path").alias("i", "node"))
-    w = Window.partitionBy("id").orderBy("i")
-    return p.select("id", F.col("node").alias("src"), F.lead("node").over(w).alias("dst")).where("dst is not null")
+    """Edges between neighbours on each path (``id``, ``path`` array, ``q``, ``a`` ends), the edge between its ends where it has none."""
+    p = paths.select("id", F.explode(F.when(F.size("path") > 1, F.zip_with(F.slice("path", 1, F.size("path") - 1), F.slice("path", 2, F.size("path")), lambda a, b: F.struct(a.alias("src"), b.alias("dst")))).otherwise(F.array(F.struct(F.col("q").alias("src"), F.col("a").alias("dst"))))).alias("e"))
+    return p.select("id", "e.src", "e.dst").distinct()
 
 
 def neighbour_sets(edges: DataFrame) -> DataFrame:

@@ -7,9 +7,18 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions.text import normalize
 
-# Relations that mean another one, and those that mean it with head and tail exchanged.
-MERGED = {"LEADS_TO": "CAUSES", "RESULTS_IN": "CAUSES", "TRIGGERS": "CAUSES", "INDUCES": "CAUSES", "CONTRIBUTES_TO": "ENABLES"}
-REVERSED = {"PRECEDES": "FOLLOWS", "CAUSED_BY": "CAUSES"}
+# Relations of each group, the group's name first; a star marks one with head and tail exchanged.
+RELATION_GROUPS = [
+    "atlocation/locatednear", "capableof", "causes/causesdesire/*motivatedbygoal", "createdby", "desires", "antonym/distinctfrom", "hascontext", "hasproperty",
+    "hassubevent/hasfirstsubevent/haslastsubevent/hasprerequisite/entails/mannerof", "isa/instanceof/definedas", "madeof", "notcapableof", "notdesires", "partof/*hasa",
+    "relatedto/similarto/synonym", "usedfor", "receivesaction",
+]
+MERGED = {r: g.split("/")[0] for g in RELATION_GROUPS for r in g.split("/") if not r.startswith("*")}
+REVERSED = {r[1:]: g.split("/")[0] for g in RELATION_GROUPS for r in g.split("/") if r.startswith("*")}
+# Concepts that are left out of the graph.
+BLACKLIST = ["uk", "us", "take", "make", "object", "person", "people"]
+# Relations of candidate edges as relations of concepts.
+CONCEPT_RELATIONS = {"CAUSES": "causes", "LEADS_TO": "causes", "RESULTS_IN": "causes", "TRIGGERS": "causes", "INDUCES": "causes", "CAUSED_BY": "motivatedbygoal", "ENABLES": "hasprerequisite", "PRECEDES": "hassubevent", "PART_OF": "partof", "HAS": "hasa", "UNK": "relatedto"}
 
 
 def _words(c: str) -> Column:
@@ -38,21 +47,33 @@ def mentions(texts: DataFrame, key: str, column: str, terms: DataFrame, max_word
 
 
 def merge_relations(edges: DataFrame) -> DataFrame:
-    """Relations merged into their group; reversed ones with head and tail exchanged."""
+    """Relations merged into their group, reversed ones with head and tail exchanged, others left out (``src``, ``rel``, ``dst``, ``weight``)."""
     rel = F.col("rel")
     back = rel.isin(list(REVERSED))
-    name = rel
+    named = None
     for k, v in (MERGED | REVERSED).items():
-        name = F.when(rel == k, v).otherwise(name)
-    return edges.select(F.when(back, F.col("dst")).otherwise(F.col("src")).alias("src"), name.alias("rel"), F.when(back, F.col("src")).otherwise(F.col("dst")).alias("dst"), "weight")
+        named = F.when(rel == k, v) if named is None else named.when(rel == k, v)
+    return edges.select(F.when(back, F.col("dst")).otherwise(F.col("src")).alias("src"), named.alias("rel"), F.when(back, F.col("src")).otherwise(F.col("dst")).alias("dst"), "weight").where("rel is not null")
 
 
-def concept_graph(edges: DataFrame) -> DataFrame:
-    """Each (src, rel, dst) once with its largest weight, loops left out, and the inverse of each edge."""
-    e = edges.where("src is not null and dst is not null and src <> dst").groupBy("src", "rel", "dst").agg(F.max("weight").alias("weight"))
+def concept_graph(edges: DataFrame, prune: bool = True) -> DataFrame:
+    """Each (src, rel, dst) once with its largest weight, loops left out, and the inverse of each edge; ``prune`` leaves
+    out blacklisted concepts and the relation of contexts."""
+    e = edges.where("src is not null and dst is not null and src <> dst")
+    if prune:
+        e = e.where(~F.col("src").isin(BLACKLIST) & ~F.col("dst").isin(BLACKLIST) & (F.col("rel") != "hascontext"))
+    e = e.groupBy("src", "rel", "dst").agg(F.max("weight").alias("weight"))
     return e.unionByName(e.select(F.col("dst").alias("src"), F.concat("rel", F.lit("*")).alias("rel"), F.col("src").alias("dst"), "weight"))
 
 
+def concept_relation(rel: str = "rel") -> Column:
+    """Relations of candidate edges as relations of concepts; others are related only."""
+    out = None
+    for k, v in CONCEPT_RELATIONS.items():
+        out = F.when(F.col(rel) == k, v) if out is None else out.when(F.col(rel) == k, v)
+    return out.otherwise("relatedto")
+
+
 def simple_graph(graph: DataFrame) -> DataFrame:
     """Undirected edges with the sum of the weights of all edges between two nodes."""
     return graph.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.round(F.sum("weight"), 6).alias("weight"))
@@ -70,3 +91,13 @@ def two_hop(graph: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     a = e.join(left.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
     b = e.join(right.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
     return a.join(b, "node", "left_semi")
+
+
+def three_hop(graph: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Nodes (``node``) on a path of three steps from a node of ``left`` to one of ``right``, the ends left out."""
+    e = graph.select("src", "dst").distinct()
+    first = e.join(left.select(F.col("node").alias("src")).distinct(), "src", "left_semi").select(F.col("dst").alias("m")).distinct()
+    last = e.join(right.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").select(F.col("src").alias("n")).distinct()
+    mid = e.select(F.col("src").alias("m"), F.col("dst").alias("n")).join(first, "m", "left_semi").join(last, "n", "left_semi")
+    ends = left.select("node").unionByName(right.select("node")).distinct()
+    return mid.select(F.col("m").alias("node")).unionByName(mid.select(F.col("n").alias("node"))).distinct().join(ends, "node", "left_anti")

@@ -12,29 +12,21 @@ from lodestrand.plans.paths import _NORM, _TOK
 from lodestrand.plans.scores import _FEAT, _GATE, _MULTI, _OVMIN, _PRE, _SINGLE, with_evidence
 from lodestrand.plans.texts import any_sql
 from lodestrand import lexicons as lx
+from lodestrand.session import cut
 
 
-def _topk_units(spark: SparkSession, d: str, verbatim: bool) -> DataFrame:
+def lexical_topk_units(spark: SparkSession, d: str) -> DataFrame:
+    """The five units of its file that name an edge's ends best, for each pair of texts of a file."""
     e = edges(spark, d).where("file_name is not null and source_text is not null and target_text is not null").select("file_name", "source_text", "target_text").distinct().withColumn("edge", ds.digest_id("e_", "file_name", "source_text", "target_text"))
     u = units(spark, d).select("unit_id", F.regexp_extract("parent_evidence_id", r"^[^|]*\|[^|]*\|([^|]*)", 1).alias("file_name"), "content")
-    top = ds.lexical_units(e, u, verbatim=verbatim).groupBy("edge").agg(F.count("*").alias("units"), F.max("score").alias("best"))
+    top = ds.lexical_units(cut(e), u).groupBy("edge").agg(F.count("*").alias("units"), F.max("score").alias("best"))
     return e.join(top, "edge").select("file_name", "source_text", "target_text", "units", "best")
 
 
-def lexical_topk_units(spark: SparkSession, d: str) -> DataFrame:
-    """W08 as its SQL has it, among units that share a token with an end only; ``lexical_topk_all_units`` does the whole."""
-    return _topk_units(spark, d, False)
-
-
-def lexical_topk_all_units(spark: SparkSession, d: str) -> DataFrame:
-    """The five units of its file that name an edge's ends best, for each pair of texts of a file."""
-    return _topk_units(spark, d, True)
-
-
 def label_resolution(spark: SparkSession, d: str) -> DataFrame:
     """Labels of candidate pairs, from samples as gold, else from the single-task rules."""
     g = labels(spark, d).where("silver_edge_causal in (0, 1)").select(F.lower(F.trim("doc_id")).alias("doc"), F.col("source_node_id").alias("src"), F.col("target_node_id").alias("dst"), F.col("silver_edge_causal").alias("label"))
-    p = sc.single_label(sc.evidence_features(with_evidence(spark, d))).where("doc is not null").select("doc", "src", "dst", "rel", "label")
+    p = cut(sc.single_label(sc.evidence_features(with_evidence(spark, d))).where("doc is not null").select("doc", "src", "dst", "rel", "label"))
     return ds.resolve_labels(p.drop("label"), g, p)
 
 
@@ -100,14 +92,14 @@ def label_pipeline(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("doc").agg(F.count("*").alias("edges"), F.count_if(F.col("label") == 1).alias("strict"), F.sum("support_label").alias("support"), F.sum("support_mask").alias("masked"))
 
 
-QUERIES = {f.__name__: f for f in (lexical_topk_units, lexical_topk_all_units, label_resolution, pair_subgraphs, relation_inference, best_evidence, graph_context, module_votes, fused_layers, twin_groups, label_pipeline)}
+QUERIES = {f.__name__: f for f in (lexical_topk_units, label_resolution, pair_subgraphs, relation_inference, best_evidence, graph_context, module_votes, fused_layers, twin_groups, label_pipeline)}
 
 _OV = lambda a, b: f"(case when len({a}) = 0 or len({b}) = 0 then 0.0 else len(list_intersect({a}, {b})) / cast(least(len({a}), len({b})) as double) end)"
 _GATE_ALL = _GATE.replace("from ev)", "from (select *, evidence_text as evidence from edges where src is not null and dst is not null))", 1)
 SQL = {
     "lexical_topk_units": with_("edges", "units") + rf""", e as (select distinct file_name, source_text, target_text, {_NORM.format('source_text')} as ns, {_NORM.format('target_text')} as nt from edges where file_name is not null and source_text is not null and target_text is not null),
         et as (select *, {_TOK.format('ns')} as a, {_TOK.format('nt')} as b from e), u as (select unit_id, regexp_extract(parent_evidence_id, '^[^|]*\|[^|]*\|([^|]*)', 1) as file_name, content, {_NORM.format('content')} as nc from units where content is not null), ut as (select *, {_TOK.format('nc')} as c from u),
-        s as (select file_name, source_text, target_text, unit_id, round(1.2 * {_OV('a', 'c')} + 1.2 * {_OV('b', 'c')} + case when source_text <> '' and contains(lower(content), lower(source_text)) then 0.6 else 0 end + case when target_text <> '' and contains(lower(content), lower(target_text)) then 0.6 else 0 end, 6) as score from et join ut using (file_name) where len(list_intersect(list_concat(a, b), c)) > 0),
+        s as (select file_name, source_text, target_text, unit_id, round(1.2 * {_OV('a', 'c')} + 1.2 * {_OV('b', 'c')} + case when source_text <> '' and contains(lower(content), lower(source_text)) then 0.6 else 0 end + case when target_text <> '' and contains(lower(content), lower(target_text)) then 0.6 else 0 end, 6) as score from et join ut using (file_name)),
         r as (select *, row_number() over (partition by file_name, source_text, target_text order by score desc, unit_id) as rank from s where score > 0.25)
         select file_name, source_text, target_text, count(*) as units, max(score) as best from r where rank <= 5 group by 1, 2, 3""",
     "label_resolution": f"{_PRE}, {CTE['labels']}, {_FEAT}, {_SINGLE}, p as (select doc, src, dst, rel, label from rl where doc is not null), g as (select lower(trim(doc_id)) as doc, source_node_id as src, target_node_id as dst, max(silver_edge_causal) as g from labels where silver_edge_causal in (0, 1) group by 1, 2, 3), x as (select doc, src, dst, rel, max(label) as x from p where label is not null group by 1, 2, 3, 4), o as (select doc, src, dst, max(label) as o from p where label is not null group by 1, 2, 3 having count(*) = 1) select p.doc, p.src, p.dst, p.rel, coalesce(g, x, o) as label, case when g is not null then 'gold' when x is not null then 'pseudo' else 'pair' end as label_source from p left join g using (doc, src, dst) left join x using (doc, src, dst, rel) left join o using (doc, src, dst) where coalesce(g, x, o) is not null",
@@ -120,5 +112,3 @@ SQL = {
     "twin_groups": with_("labels") + " select lower(trim(twin_group_id)) as twin, count(*) as samples, count(distinct lower(trim(doc_id))) as docs, min(sample_id) as first_sample from labels where lower(trim(twin_group_id)) like 'twin::%' group by 1",
     "label_pipeline": f"{_PRE}, {_FEAT}, {_SINGLE}, {_MULTI.replace('from f)', f'from rl where doc is not null and not (src = dst or s = g or {_OVMIN} >= 0.95))', 1)} select doc, count(*) as edges, count(*) filter (where label = 1) as strict, sum(case when causal_label = 1 or causal_conf >= 0.55 then 1 else 0 end) as support, sum(case when causal_label = 1 or causal_conf >= 0.55 or causal_label = 0 then 1 else 0 end) as masked from m group by doc",
 }
-# Every unit of the file is a candidate here.
-SQL["lexical_topk_all_units"] = SQL["lexical_topk_units"].replace(" where len(list_intersect(list_concat(a, b), c)) > 0)", ")", 1)

@@ -126,12 +126,6 @@ def _reach_counts(closed: DataFrame) -> DataFrame:
 
 
 def closure_counts(spark: SparkSession, d: str) -> DataFrame:
-    """G07, G08 as its SQL has it, within four steps over edges of confidence .5 and more; ``closure_all_counts`` does the whole."""
-    e = edges(spark, d).where("doc is not null and conf >= 0.5").select("doc", "src", "dst")
-    return _reach_counts(graph.closure(e, ["doc"], 4))
-
-
-def closure_all_counts(spark: SparkSession, d: str) -> DataFrame:
     """Reachable nodes of each node in its document, and whether it lies on a cycle, over all edges and any number of steps."""
     return _reach_counts(graph.closure(edges(spark, d).where("doc is not null").select("doc", "src", "dst"), ["doc"]))
 
@@ -151,13 +145,13 @@ def entity_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def newest_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """The ten chunks of each file that were updated last."""
+    """The fifty chunks of each file that were updated last."""
     c = chunks(spark, d).where("file_name is not null")
     rn = F.row_number().over(Window.partitionBy("file_name").orderBy(F.desc("updated_at"), "evidence_id"))
-    return c.select("file_name", "evidence_id", rn.alias("rn")).where("rn <= 10")
+    return c.select("file_name", "evidence_id", rn.alias("rn")).where("rn <= 50")
 
 
-QUERIES = {f.__name__: f for f in (upsert_chains, sparse_update_docs, failure_status, latest_sample_labels, cascade_delete_entities, orphan_nodes, detach_delete_unk, key_duplicates, completed_docs, document_view, entity_view, k_hop_subgraph, label_type_listing, node_lookup, root_nodes, closure_counts, closure_all_counts, chain_edges_join, entity_groups, newest_chunks)}
+QUERIES = {f.__name__: f for f in (upsert_chains, sparse_update_docs, failure_status, latest_sample_labels, cascade_delete_entities, orphan_nodes, detach_delete_unk, key_duplicates, completed_docs, document_view, entity_view, k_hop_subgraph, label_type_listing, node_lookup, root_nodes, closure_counts, chain_edges_join, entity_groups, newest_chunks)}
 SQL = {
     "upsert_chains": "select chain_id, min(created_at) as created_at, max(updated_at) as updated_at from causal_chains where chain_id is not null group by chain_id",
     "sparse_update_docs": with_("chunks") + """, o as (select file_name, count(*) as n, max(position) as p from chunks where file_name is not null group by file_name),
@@ -183,13 +177,10 @@ SQL = {
     "label_type_listing": with_("nodes", "edges") + " select 'relation' as kind, rel as name, count(*) as n from edges group by rel union all select 'layer', layer, count(*) from nodes where layer is not null group by layer",
     "node_lookup": with_("edges") + ", a as (select src as node_id, source_text as t, source_layer as l from edges union all select dst, target_text, target_layer from edges) select node_id, min(t) as text, min(l) as layer, count(*) as mentions from a where node_id is not null group by node_id",
     "root_nodes": with_("edges") + " select distinct doc, src as node from edges e where doc is not null and src is not null and not exists (select 1 from edges f where f.doc = e.doc and f.dst = e.src)",
-    "closure_counts": with_("edges").replace("with ", "with recursive ", 1) + """, g as (select distinct doc, src, dst from edges where doc is not null and conf >= 0.5 and src is not null and dst is not null),
-        r as (select doc, src, dst as node, 1 as k from g union select r.doc, r.src, g.dst, r.k + 1 from r join g on g.doc = r.doc and g.src = r.node where r.k < 4)
-        select doc, src as node_id, count(distinct node) as reach, max(case when src = node then 1 else 0 end) as cyclic from r group by doc, src""",
-    "closure_all_counts": with_("edges").replace("with ", "with recursive ", 1) + """, g as (select distinct doc, src, dst from edges where doc is not null and src is not null and dst is not null),
+    "closure_counts": with_("edges").replace("with ", "with recursive ", 1) + """, g as (select distinct doc, src, dst from edges where doc is not null and src is not null and dst is not null),
         r as (select doc, src, dst as node from g union select r.doc, r.src, g.dst from r join g on g.doc = r.doc and g.src = r.node)
         select doc, src as node_id, count(*) as reach, max(case when src = node then 1 else 0 end) as cyclic from r group by doc, src""",
     "chain_edges_join": "with h as (select distinct chain_id, file_name from causal_chains where chain_id is not null), e as (select distinct edge_id, chain_id, seq from causal_chain_edges where edge_id is not null) select chain_id, count(*) as edges, min(seq) as first_seq, max(seq) as last_seq from h join e using (chain_id) group by chain_id",
     "entity_groups": with_("edges") + ", m as (select source_chunk_id as chunk, src as n, source_layer as layer from edges union all select target_chunk_id, dst, target_layer from edges) select chunk, coalesce(layer, 'UNK') as layer, count(distinct n) as entities from m where chunk is not null and n is not null group by 1, 2",
-    "newest_chunks": with_("chunks") + " select file_name, evidence_id, r as rn from (select file_name, evidence_id, cast(row_number() over (partition by file_name order by updated_at desc, evidence_id) as integer) as r from chunks where file_name is not null) where r <= 10",
+    "newest_chunks": with_("chunks") + " select file_name, evidence_id, r as rn from (select file_name, evidence_id, cast(row_number() over (partition by file_name order by updated_at desc, evidence_id) as integer) as r from chunks where file_name is not null) where r <= 50",
 }

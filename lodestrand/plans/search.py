@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from lodestrand.operators import retrieval as rv
 from lodestrand.operators.ordering import numbered
 from lodestrand.operators.packed import unpack_fields
 from lodestrand.operators.views import CTE, edges, units, with_
+from lodestrand.sources import readers
 from lodestrand.session import table
 
 
@@ -112,29 +115,64 @@ def code_composition(spark: SparkSession, d: str) -> DataFrame:
     return g.select("full_code", tx.injury_code("type_code").alias("wsa"), tx.full_code(F.lit("WSA10009"), tx.injury_code("class_code"), tx.injury_code("type_code")).alias("composed"))
 
 
+def _concept_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate edges as assertions between concepts, weighted by their confidence."""
+    return edges(spark, d).select("src", gr.concept_relation().alias("rel"), "dst", F.col("conf").alias("weight"))
+
+
 def concept_merge(spark: SparkSession, d: str) -> DataFrame:
     """The merged concept graph with inverse edges, by relation."""
-    g = gr.concept_graph(gr.merge_relations(edges(spark, d).withColumn("weight", F.col("conf"))))
+    g = gr.concept_graph(gr.merge_relations(_concept_edges(spark, d)))
     return g.groupBy("rel").agg(F.count("*").alias("edges"), F.round(F.sum("weight"), 5).alias("weight"))
 
 
 def simple_weights(spark: SparkSession, d: str) -> DataFrame:
     """Undirected weights of all pairs of joined nodes."""
-    return gr.simple_graph(gr.concept_graph(gr.merge_relations(edges(spark, d).withColumn("weight", F.col("conf")))))
+    return gr.simple_graph(gr.concept_graph(gr.merge_relations(_concept_edges(spark, d))))
 
 
 def adjacency_normalized(spark: SparkSession, d: str) -> DataFrame:
     """Edges of the concept graph with their share of the weight into their head."""
-    return gr.in_degree_normalized(gr.concept_graph(gr.merge_relations(edges(spark, d).withColumn("weight", F.col("conf")))))
+    return gr.in_degree_normalized(gr.concept_graph(gr.merge_relations(_concept_edges(spark, d))))
 
 
 def two_hop_connectors(spark: SparkSession, d: str) -> DataFrame:
     """Nodes between a node of layer ROOT and one of layer OUTCOME."""
-    g = gr.concept_graph(gr.merge_relations(edges(spark, d).withColumn("weight", F.col("conf"))))
+    g = gr.concept_graph(gr.merge_relations(_concept_edges(spark, d)))
     n = table(spark, d, "causal_nodes")
     return gr.two_hop(g, n.where("layer = 'ROOT'").select(F.col("node_id").alias("node")), n.where("layer = 'OUTCOME'").select(F.col("node_id").alias("node")))
 
 
+def three_hop_connectors(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes on paths of three steps between nodes of layer ROOT and of layer CONSEQUENCE."""
+    g = gr.concept_graph(gr.merge_relations(_concept_edges(spark, d)))
+    n = table(spark, d, "causal_nodes")
+    return gr.three_hop(g, n.where("layer = 'ROOT'").select(F.col("node_id").alias("node")), n.where("layer = 'CONSEQUENCE'").select(F.col("node_id").alias("node")))
+
+
+def _assertions(spark: SparkSession, d: str) -> DataFrame:
+    """Assertions in the raw form of a concept dump, from the dimension tables: ``uri``, ``rel``, ``head``, ``tail``, ``info``."""
+    t = lambda n: table(spark, d, n)
+    low = lambda c: F.concat(F.lit("/c/en/"), F.replace(F.lower(F.col(c)), F.lit(" "), F.lit("_")))
+    nr = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    row = lambda df, rel, h, tl, w: df.select(F.concat(F.lit("/a/"), F.lit(rel)).alias("uri"), F.lit(f"/r/{rel}").alias("rel"), h.alias("head"), tl.alias("tail"), F.format_string('{"weight": %s}', F.lit(w)).alias("info"))
+    part = t("part")
+    parts = [
+        row(nr, "PartOf", F.concat(low("n_name"), F.lit("/n")), low("r_name"), "1.0"), row(nr, "HasA", low("r_name"), low("n_name"), "2.5"), row(nr, "LocatedNear", low("n_name"), low("r_name"), "0.5"),
+        row(part, "InstanceOf", low("p_type"), low("p_name"), "1.0"), row(part, "HasContext", low("p_name"), low("p_type"), "1.0"), row(part, "UsedFor", low("p_type"), F.lit("/c/en/object"), "1.0"), row(part, "NoSuchRelation", low("p_type"), low("p_name"), "1.0"), row(part, "Synonym", low("p_type"), low("p_type"), "1.0"),
+        row(t("customer"), "MotivatedByGoal", low("c_mktsegment"), F.lit("/c/en/trade/v"), "1.5"), row(t("customer"), "IsA", F.lit("/c/fr/client"), low("c_mktsegment"), "1.0"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def concept_extraction(spark: SparkSession, d: str) -> DataFrame:
+    """The concept graph of raw assertions: English heads and tails of letters, merged groups, reversed relations,
+    blacklist, contexts and loops left out, inverses added."""
+    raw = readers.clean_assertions(_assertions(spark, d).distinct())
+    g = gr.concept_graph(gr.merge_relations(raw.select(F.col("head").alias("src"), "rel", F.col("tail").alias("dst"), "weight")))
+    return g.select("src", "rel", "dst", F.round("weight", 6).alias("weight"))
+
+
 def concept_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     """Concepts (normalised node texts) with their line number from 0, and how many edges name them."""
     e = edges(spark, d)
@@ -150,7 +188,7 @@ def node_unit_support(spark: SparkSession, d: str) -> DataFrame:
     return s.join(units(spark, d).select("unit_id", F.lower("unit_kind").alias("kind")), "unit_id").groupBy("kind").agg(F.count("*").alias("edges"), F.countDistinct("node_id").alias("nodes"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_documents, bm25_classes, tfidf_classes, rrf_classes, hybrid_classes, knn_similar, vector_by_label, industry_keyword_votes, code_composition, concept_merge, simple_weights, adjacency_normalized, two_hop_connectors, concept_vocabulary, node_unit_support)}
+QUERIES = {f.__name__: f for f in (bm25_documents, bm25_classes, tfidf_classes, rrf_classes, hybrid_classes, knn_similar, vector_by_label, industry_keyword_votes, code_composition, concept_merge, simple_weights, adjacency_normalized, two_hop_connectors, three_hop_connectors, concept_extraction, concept_vocabulary, node_unit_support)}
 
 _TOK = r"list_distinct(regexp_extract_all(lower({}), '[\x{{4e00}}-\x{{9fff}}]|[a-z0-9_]+'))"
 _NORM = r"regexp_replace(lower(trim(regexp_replace(coalesce({}, ''), '\s', ' ', 'g'))), ' +', ' ', 'g')"
@@ -180,7 +218,20 @@ def _tfidf(docs: str, queries: str, k: int, p: str) -> str:
 _RRF = f"with {_CL}, {_bm25('cl', 'aq', 60, 'b')}, {_tfidf('cl', 'aq', 60, 't')}, u as (select query_id, doc_id, rank from bk union all select query_id, doc_id, rank from tk), fs as (select query_id, doc_id, round(sum(1.0 / (60 + rank)), 8) as score from u group by 1, 2), fr as (select *, cast(row_number() over (partition by query_id order by score desc, doc_id) as integer) as rank from fs), fk as (select * from fr where rank <= 20)"
 _JAC = lambda a, b: f"(case when len({_TOK.format(a)}) = 0 or len({_TOK.format(b)}) = 0 then 0.0 else len(list_intersect({_TOK.format(a)}, {_TOK.format(b)})) / cast(len(list_distinct(list_concat({_TOK.format(a)}, {_TOK.format(b)}))) as double) end)"
 _KNN = lambda k: f"with v as (select vec_id, cast(embedding as double[]) as e from embeddings), c as (select q.vec_id as query_id, v.vec_id as doc_id, round(list_cosine_similarity(q.e, v.e), 6) as score from v q, v where q.vec_id % 100 = 0 and q.vec_id <> v.vec_id), r as (select *, cast(row_number() over (partition by query_id order by score desc, doc_id) as integer) as rank from c), k as (select * from r where rank <= {k})"
-_MERGE = "g0 as (select case when rel in ('PRECEDES', 'CAUSED_BY') then dst else src end as src, case when rel in ('LEADS_TO', 'RESULTS_IN', 'TRIGGERS', 'INDUCES', 'CAUSED_BY') then 'CAUSES' when rel = 'CONTRIBUTES_TO' then 'ENABLES' when rel = 'PRECEDES' then 'FOLLOWS' else rel end as rel, case when rel in ('PRECEDES', 'CAUSED_BY') then src else dst end as dst, conf as weight from edges), g1 as (select src, rel, dst, max(weight) as weight from g0 where src <> dst group by 1, 2, 3), g as (select * from g1 union all select dst, rel || '*', src, weight from g1)"
+_CONCEPT = "case " + " ".join(f"when rel = '{k}' then '{v}'" for k, v in gr.CONCEPT_RELATIONS.items()) + " else 'relatedto' end"
+_GROUPS = ", ".join(f"('{r.lstrip('*')}', '{g.split('/')[0]}', {'true' if r.startswith('*') else 'false'})" for g in gr.RELATION_GROUPS for r in g.split("/"))
+
+
+def _merge_sql(assertions: str, prefix: str = "g") -> str:
+    """The merged graph ``g`` of ``assertions`` (a query of src, rel, dst, weight): groups, reversals, blacklist, no contexts, no loops, inverses."""
+    black = ", ".join(repr(x) for x in gr.BLACKLIST)
+    return (
+        f"rg as (select * from (values {_GROUPS}) v(r, grp, rev)), g0 as (select case when rev then dst else src end as src, grp as rel, case when rev then src else dst end as dst, weight from ({assertions}) join rg on rg.r = rel), "
+        f"g1 as (select src, rel, dst, max(weight) as weight from g0 where src <> dst and src not in ({black}) and dst not in ({black}) and rel <> 'hascontext' group by 1, 2, 3), {prefix} as (select * from g1 union all select dst, rel || '*', src, weight from g1)"
+    )
+
+
+_MERGE = _merge_sql(f"select src, {_CONCEPT} as rel, dst, conf as weight from edges")
 SQL = {
     "bm25_documents": f"with dd as (select doc_id, text from documents where text is not null), qq as (select doc_id as query_id, text from dd where doc_id % 100 = 0), {_bm25('dd', 'qq', 10, 'x')} select query_id, doc_id, round(score, 4) as score, rank from xk",
     "bm25_classes": f"with {_CL}, {_bm25('cl', 'aq', 5, 'b')} select query_id, doc_id, score, rank from bk",
@@ -194,6 +245,8 @@ SQL = {
     "simple_weights": f"with {CTE['edges']}, {_MERGE} select least(src, dst) as a, greatest(src, dst) as b, round(sum(weight), 6) as weight from g group by 1, 2",
     "adjacency_normalized": f"with {CTE['edges']}, {_MERGE}, s as (select dst, sum(weight) as s from g group by 1) select src, rel, g.dst, round(weight / case when s = 0 then 1e-5 else s end, 6) as p from g join s using (dst)",
     "two_hop_connectors": f"with {CTE['edges']}, {_MERGE} select distinct a.dst as node from g a join g b on b.src = a.dst where a.src in (select node_id from causal_nodes where layer = 'ROOT') and b.dst in (select node_id from causal_nodes where layer = 'OUTCOME')",
+    "three_hop_connectors": f"with {CTE['edges']}, {_MERGE}, q as (select node_id as n from causal_nodes where layer = 'ROOT'), z as (select node_id as n from causal_nodes where layer = 'CONSEQUENCE'), e as (select distinct src, dst from g), p as (select b.src as x, b.dst as y from e a join e b on b.src = a.dst join e c on c.src = b.dst where a.src in (select n from q) and c.dst in (select n from z)) select distinct node from (select x as node from p union select y from p) where node not in (select n from q) and node not in (select n from z)",
+    "concept_extraction": "with l as (select lower(replace(n_name, ' ', '_')) as n, lower(replace(r_name, ' ', '_')) as r from nation join region on n_regionkey = r_regionkey), p as (select lower(replace(p_type, ' ', '_')) as t, lower(replace(p_name, ' ', '_')) as n from part), c as (select lower(replace(c_mktsegment, ' ', '_')) as s from customer), a as (select n as src, 'partof' as rel, r as dst, 1.0 as weight from l union all select r, 'hasa', n, 2.5 from l union all select n, 'locatednear', r, 0.5 from l union all select t, 'instanceof', n, 1.0 from p union all select n, 'hascontext', t, 1.0 from p union all select t, 'usedfor', 'object', 1.0 from p union all select t, 'synonym', t, 1.0 from p union all select s, 'motivatedbygoal', 'trade', 1.5 from c), ok as (select * from a where regexp_matches(replace(replace(src, '_', ''), '-', ''), '^[a-z]+$') and regexp_matches(replace(replace(dst, '_', ''), '-', ''), '^[a-z]+$')), " + _merge_sql("select * from ok") + " select src, rel, dst, round(weight, 6) as weight from g",
     "concept_vocabulary": with_("edges") + f", t as (select {_NORM.format('source_text')} as concept from edges union all select {_NORM.format('target_text')} from edges) select concept, count(*) as n, row_number() over (order by concept) - 1 as id from t where concept <> '' group by concept",
     "node_unit_support": with_("edges", "units") + ", s as (select distinct unit_id, node_id from (select unit_id, src as node_id from edges union all select unit_id, dst from edges) where unit_id is not null and node_id is not null) select lower(unit_kind) as kind, count(*) as edges, count(distinct node_id) as nodes from s join units using (unit_id) group by 1",
 }

@@ -83,15 +83,20 @@ def samples(spark: SparkSession, path: str, include: list[str] | None = None, ex
     return s.where(~F.col("label_source").isin(exclude)) if exclude else s
 
 
-def concept_triples(spark: SparkSession, path: str) -> DataFrame:
-    """Assertions of a tab-separated file as ``rel``, ``head``, ``tail``, ``weight``; only English ones of letters."""
-    raw = spark.read.option("sep", "\t").option("quote", "").schema("uri string, rel string, head string, tail string, info string").csv(path)
+def clean_assertions(raw: DataFrame) -> DataFrame:
+    """Assertions (``rel``, ``head``, ``tail``, ``info``) as ``rel``, ``head``, ``tail``, ``weight``; only English ones of letters."""
     e = raw.where(F.col("head").startswith("/c/en/") & F.col("tail").startswith("/c/en/"))
     part = lambda c: clean_concept(F.regexp_replace(F.regexp_replace(c, r"^/c/en/", ""), r"/[navr](/.*)?$", ""))
     t = e.select(F.lower(F.element_at(F.split("rel", "/"), -1)).alias("rel"), part("head").alias("head"), part("tail").alias("tail"), F.get_json_object("info", "$.weight").try_cast("double").alias("weight"))
     return t.where("head is not null and tail is not null")
 
 
+def concept_triples(spark: SparkSession, path: str) -> DataFrame:
+    """The assertions of a tab-separated file."""
+    raw = spark.read.option("sep", "\t").option("quote", "").schema("uri string, rel string, head string, tail string, info string").csv(path)
+    return clean_assertions(raw)
+
+
 def rule_library(spark: SparkSession, path: str) -> DataFrame:
     """A rule library document as retrieval documents: clauses, basic types and severities, dated by their standard."""
     schema = "standards array<struct<standard_no:string,effective_from:string>>, clauses array<struct<clause_id:string,standard_no:string,title:string,text:string>>, basic_types array<struct<id:string,name:string,keywords:array<string>>>, severities array<struct<id:string,name:string>>"
