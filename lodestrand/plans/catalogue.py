@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrand.plans import building, evaluation, graphs, pairs, paths, projections, records, rules, scores, search, spanning, streams, texts
+from lodestrand.plans import assembly, building, evaluation, graphs, pairs, paths, projections, records, rules, scores, search, spanning, streams, texts
 
-MODULES = [records, texts, graphs, scores, paths, search, evaluation, spanning, streams, building, rules, pairs, projections]
+MODULES = [records, texts, graphs, scores, paths, search, evaluation, spanning, streams, building, rules, pairs, projections, assembly]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
