@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lodestrand import lexicons as lx
 from lodestrand.functions.text import contains_any, overlap_min
 from lodestrand.operators.graph import undirected
+from lodestrand.session import cut
 
 
 def safe_list(c: str | Column) -> Column:
@@ -35,42 +36,63 @@ def infer_relation(text: str | Column, default: str = "UNK") -> Column:
     return out.otherwise(default)
 
 
-def naming_units(names: DataFrame, units: DataFrame) -> DataFrame:
+def naming_units(names: DataFrame, units: DataFrame, part: int = 1000) -> DataFrame:
     """``file_name``, ``name``, ``unit_id`` for each name (``file_name``, ``name``) that a unit of its file contains, in any case and script.
 
-    Names and contents meet in an equi-join on file and character pair, by the pair of the name that the fewest units of the file
-    hold; a name of one character meets on that character. Empty names are in no unit.
+    The names of a file, once each, are an array that meets the units of the file; the units of a file of more than ``part`` are
+    shared out over parts that each get the array. Empty names are in no unit.
     """
-    cuts = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, n))
-    nm = names.where("file_name is not null and name <> ''").distinct().withColumn("low", F.lower("name"))
+    nm = names.where("file_name is not null and name <> ''").select("file_name", "name").distinct().groupBy("file_name").agg(F.collect_list(F.struct("name", F.lower("name").alias("low"))).alias("ns"))
     u = units.where("file_name is not null and content <> ''").select("unit_id", "file_name", F.lower("content").alias("low"))
-    held = u.select("unit_id", "file_name", F.explode(F.array_distinct(F.concat(cuts(F.col("low"), 2), cuts(F.col("low"), 1)))).alias("g"))
-    count = held.groupBy("file_name", "g").agg(F.count("*").alias("n"))
-    asked = nm.select("file_name", "name", F.explode(F.array_distinct(cuts(F.col("low"), 2))).alias("g")).join(count, ["file_name", "g"], "left")
-    rare = asked.groupBy("file_name", "name").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("x")).where("x.n > 0").select("file_name", "name", F.col("x.g").alias("g"))
-    met = rare.join(held, ["file_name", "g"]).select("file_name", "name", "unit_id")
-    return met.join(u.select("unit_id", "low"), "unit_id").where(F.col("low").contains(F.lower("name"))).select("file_name", "name", "unit_id").distinct()
+    large = F.broadcast(u.groupBy("file_name").agg(F.ceil(F.count("*") / part).alias("parts")).where("parts > 1"))
+    split = lambda x: x.join(large, "file_name", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    met = split(u).withColumn("part", F.pmod(F.xxhash64("unit_id"), "parts")).join(split(nm).withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)"))), ["file_name", "part"])
+    return met.select("file_name", "unit_id", F.explode(F.filter("ns", lambda n: F.col("low").contains(n["low"]))["name"]).alias("name")).select("file_name", "name", "unit_id")
 
 
 def lexical_units(edges: DataFrame, units: DataFrame, k: int = 5, least: float = 0.25) -> DataFrame:
     """The ``k`` units of an edge's file that name its ends best: edges have ``edge``, ``file_name``, ``source_text``,
-    ``target_text``; units ``unit_id``, ``file_name``, ``content``.
+    ``target_text``; units ``unit_id``, ``file_name``, ``content``. Ties go to the smaller unit.
 
-    Edges meet the units of their file that share a token with an end, by an equi-join on file and token; a file that
-    holds a third of all rows is split by its tokens. They also meet the units that contain an end without sharing a token, so no
-    unit that scores is left out.
+    A unit is scored once for each name of its file, however many edges have that name: by the tokens they share (an equi-join on
+    file and token) and by whether it contains the name. An edge's best units score by one end only, and then are among the
+    ``k`` best of that name, or by both; those come from the names of each unit that an edge joins. No unit that scores is left out.
     """
     from lodestrand.functions.text import label_tokens
 
-    et = edges.select("edge", "file_name", F.explode(F.array_distinct(F.concat(label_tokens("source_text"), label_tokens("target_text")))).alias("t"))
-    ut = units.where("content is not null").select("unit_id", "file_name", F.explode(F.array_distinct(label_tokens("content"))).alias("t"))
-    pairs = et.join(ut, ["file_name", "t"]).select("edge", "unit_id")
-    ends = edges.select("edge", "file_name", F.col("source_text").alias("name")).unionByName(edges.select("edge", "file_name", F.col("target_text").alias("name")))
-    pairs = pairs.unionByName(ends.join(naming_units(ends.select("file_name", "name"), units), ["file_name", "name"]).select("edge", "unit_id"))
-    pairs = pairs.distinct()
-    j = pairs.join(edges.select("edge", "source_text", "target_text"), "edge").join(units.select("unit_id", "content"), "unit_id")
-    named = lambda c: F.when((F.coalesce(F.col(c), F.lit("")) != "") & F.lower("content").contains(F.lower(c)), 0.6).otherwise(0.0)
-    s = j.select("edge", "unit_id", F.round(1.2 * overlap_min("source_text", "content") + 1.2 * overlap_min("target_text", "content") + named("source_text") + named("target_text"), 6).alias("score")).where(F.col("score") > least)
+    e = edges.select("edge", "file_name", "source_text", "target_text")
+    ends = e.select("file_name", F.col("source_text").alias("name")).unionByName(e.select("file_name", F.col("target_text").alias("name"))).distinct()
+    nm = cut(ends.where("name <> ''").select(F.monotonically_increasing_id().alias("nid"), "file_name", "name", F.array_distinct(label_tokens("name")).alias("ts")))
+    u = cut(units.where("content is not null").join(nm.select("file_name").distinct(), "file_name", "left_semi").select("unit_id", "file_name", "content", F.array_distinct(label_tokens("content")).alias("ts")))
+    id_of = lambda c, i: nm.select("file_name", F.col("name").alias(c), F.col("nid").alias(i))
+    e = cut(e.join(id_of("source_text", "s"), ["file_name", "source_text"], "left").join(id_of("target_text", "t"), ["file_name", "target_text"], "left").select("edge", "s", "t"))
+
+    nt = nm.select("nid", "file_name", F.size("ts").alias("nl"), F.explode("ts").alias("w"))
+    ut = u.select("unit_id", "file_name", F.size("ts").alias("ul"), F.explode("ts").alias("w"))
+    alike = nt.join(ut, ["file_name", "w"]).select("nid", "unit_id", F.lit(1).alias("m"), F.least("nl", "ul").alias("q"), F.lit(0).alias("named"))
+    named = naming_units(nm, u).join(nm, ["file_name", "name"]).select("nid", "unit_id", F.lit(0).alias("m"), F.lit(0).alias("q"), F.lit(1).alias("named"))
+    g = alike.unionByName(named).groupBy("nid", "unit_id").agg(F.sum("m").alias("m"), F.max("q").alias("q"), F.max("named").alias("named"))
+    g = cut(g.select("nid", "unit_id", F.when(F.col("q") > 0, F.col("m") / F.col("q")).otherwise(0.0).alias("o"), F.when(F.col("named") == 1, 0.6).otherwise(0.0).alias("n")))
+
+    def total(so: str, to: str, sn: str, tn: str) -> Column:
+        return F.round(1.2 * F.col(so) + 1.2 * F.col(to) + F.col(sn) + F.col(tn), 6)
+
+    zero = lambda *cs: [F.lit(0.0).alias(c) for c in cs]
+    best = g.withColumn("rn", F.row_number().over(Window.partitionBy("nid").orderBy(F.round(1.2 * F.col("o") + F.col("n"), 6).desc(), "unit_id"))).where(F.col("rn") <= k).select("nid", "unit_id", "o", "n")
+    by_s = e.join(best.withColumnRenamed("nid", "s"), "s").select("edge", "unit_id", F.col("o").alias("so"), F.col("n").alias("sn"), *zero("to", "tn"))
+    by_t = e.join(best.withColumnRenamed("nid", "t"), "t").select("edge", "unit_id", *zero("so", "sn"), F.col("o").alias("to"), F.col("n").alias("tn"))
+
+    of = g.groupBy("unit_id").agg(F.collect_list(F.struct("nid", "o", "n")).alias("ws")).where(F.size("ws") > 0)
+    of = of.select("unit_id", F.posexplode("ws.nid").alias("at", "s"), F.col("ws.nid").alias("ids"), F.col("ws.o").alias("os"), F.col("ws.n").alias("ns"))
+    of = of.select("unit_id", "s", "ids", "os", "ns", F.col("os")[F.col("at")].alias("so"), F.col("ns")[F.col("at")].alias("sn"))
+    after = e.where("s is not null and t is not null").groupBy("s").agg(F.collect_set("t").alias("after"))
+    two = of.join(after, "s").withColumn("t", F.explode(F.array_intersect("ids", "after"))).withColumn("at", F.array_position("ids", F.col("t")).cast("int") - 1)
+    two = two.select("s", "t", "unit_id", "so", "sn", F.col("os")[F.col("at")].alias("to"), F.col("ns")[F.col("at")].alias("tn"))
+    two = two.withColumn("rn", F.row_number().over(Window.partitionBy("s", "t").orderBy(total("so", "to", "sn", "tn").desc(), "unit_id"))).where(F.col("rn") <= k)
+    by_both = e.join(two, ["s", "t"]).select("edge", "unit_id", "so", "sn", "to", "tn")
+
+    c = by_s.unionByName(by_t).unionByName(by_both).groupBy("edge", "unit_id").agg(*(F.max(x).alias(x) for x in ("so", "to", "sn", "tn")))
+    s = c.select("edge", "unit_id", total("so", "to", "sn", "tn").alias("score")).where(F.col("score") > least)
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("edge").orderBy(F.desc("score"), "unit_id"))).where(F.col("rank") <= k)
 
 
