@@ -9,10 +9,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions.text import col, normalize, overlap_jaccard, retrieval_tokens
+from lodestrand.session import cut
 
 
 def ranked(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
@@ -21,20 +24,65 @@ def ranked(scores: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scores.withColumn("rank", rn).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, part: int = 4096) -> DataFrame:
     """The ``k`` best documents (``doc_id``, ``text``) of each query (``query_id``, ``text``) of positive score.
 
-    Terms count once in a text. The inverted index is a table of terms and documents; a query's terms join with it, and scores are
-    summed before they are shuffled by query.
+    Terms count once in a text; rows of one id add up. Documents are in parts of about ``part`` by their id, and every part meets all
+    queries: frequent terms as a product of matrices, the others by the part's inverted index. Only the ``k`` best of a part are shuffled.
     """
     d = docs.where("text is not null").select("doc_id", retrieval_tokens("text").alias("ts"))
-    posting = d.select("doc_id", F.size("ts").alias("len"), F.explode("ts").alias("t"))
     size = d.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avg_len"))
-    idf = posting.groupBy("t").agg(F.count("*").alias("df")).join(F.broadcast(size)).select("t", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avg_len")
-    q = queries.where("text is not null").select("query_id", F.explode(retrieval_tokens("text")).alias("t"))
-    weight = F.col("idf") * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    s = q.join(idf, "t").join(posting, "t").groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), 6).alias("score"))
-    return ranked(s.where("score > 0"), k)
+    idf = d.select(F.explode("ts").alias("t")).groupBy("t").agg(F.count("*").alias("df")).join(F.broadcast(size)).select("t", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    q = queries.where("text is not null").select("query_id", F.explode(retrieval_tokens("text")).alias("t")).groupBy("query_id", "t").agg(F.count("*").alias("n"))
+    q = cut(q.join(idf, "t").groupBy("query_id").agg(F.collect_list(F.struct("t", (F.col("n") * F.col("idf")).alias("w"))).alias("x")).select("query_id", F.array_join("x.t", " ").alias("ts"), F.col("x.w").alias("ws")))
+    n = docs.count()
+    parts = max(-(-n // part), min(docs.sparkSession.sparkContext.defaultParallelism * 3, n // 64), 1)
+    each = k1 * (1 - b + b * F.size("ts") / F.col("avg_len")) + 1
+    held = d.where(F.size("ts") > 0).join(F.broadcast(size)).select(F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("p"), "doc_id", F.array_join("ts", " ").alias("ts"), ((k1 + 1) / each).alias("f"))
+    asked = q.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def best(ds: pa.Table, qs: pa.Table) -> pa.Table:
+        ds = ds.sort_by("doc_id")
+        rows, ids = ds.num_rows, ds["doc_id"].combine_chunks()
+        code = ids.dictionary_encode(null_encoding="encode").indices.to_numpy() if rows else np.zeros(0, int)
+        starts = np.flatnonzero(np.diff(code, prepend=-1))
+        words = pc.split_pattern(ds["ts"].combine_chunks(), " ")
+        own = words.flatten().dictionary_encode()
+        term, row = own.indices.to_numpy(), np.repeat(np.arange(rows), pc.list_value_length(words).to_numpy())
+        df = np.bincount(term, minlength=len(own.dictionary))
+        posting, first = row[np.argsort(term, kind="stable")], np.cumsum(df) - df
+        often = np.flatnonzero(df * 32 > rows)
+        column = np.full(len(df), -1)
+        column[often] = np.arange(len(often))
+        dense = np.zeros((len(often), rows))
+        here = column[term] >= 0
+        dense[column[term[here]], row[here]] = 1.0
+        found: list[tuple] = []
+        for at in range(0, qs.num_rows if rows else 0, 256):
+            block = qs.slice(at, 256).combine_chunks()
+            asks = pc.split_pattern(block["ts"].combine_chunks(), " ")
+            t = pc.fill_null(pc.index_in(asks.flatten(), value_set=own.dictionary), -1).to_numpy()
+            i, w = np.repeat(np.arange(block.num_rows), pc.list_value_length(asks).to_numpy()), block["ws"].combine_chunks().flatten().to_numpy()
+            i, w, t = i[t >= 0], w[t >= 0], t[t >= 0]
+            m, c = np.zeros((block.num_rows, len(often))), column[t]
+            m[i[c >= 0], c[c >= 0]] = w[c >= 0]
+            i, w, t = i[c < 0], w[c < 0], t[c < 0]
+            many = df[t]
+            to = posting[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[t], many)]
+            s = m @ dense + np.bincount(np.repeat(i, many) * rows + to, np.repeat(w, many), block.num_rows * rows).reshape(-1, rows)
+            s *= ds["f"].to_numpy()
+            s = np.round(np.add.reduceat(s, starts, axis=1) if len(starts) < rows else s, 6)
+            least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.zeros(len(s))
+            y, x = np.nonzero((s >= least[:, None]) & (s > 0))
+            order = np.lexsort((x, -s[y, x], y))
+            y, x = y[order], x[order]
+            kept = np.arange(len(y)) - np.searchsorted(y, y) < k
+            found.append((block["query_id"].take(pa.array(y[kept])), ids.take(pa.array(starts[x[kept]])), s[y[kept], x[kept]]))
+        cast = lambda j, c: pa.chunked_array([z for f in found for z in (f[j].chunks if isinstance(f[j], pa.ChunkedArray) else [f[j]])], c)
+        return pa.table({"query_id": cast(0, qs.schema.field("query_id").type), "doc_id": cast(1, ds.schema.field("doc_id").type), "score": pa.array(np.concatenate([np.zeros(0), *(f[2] for f in found)]))})
+
+    out = f"query_id {queries.schema['query_id'].dataType.simpleString()}, doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double"
+    return ranked(held.groupBy("p").cogroup(asked.groupBy("p")).applyInArrow(best, out), k)
 
 
 def char_grams(c: str | Column, low: int = 2, high: int = 4) -> Column:

@@ -1,9 +1,14 @@
 """Operators on tables with one large group: right results without rows for every pair of its members."""
 
+import math
 import random
+import time
+from collections import Counter
 
 from conftest import rows
-from lodestrand.operators import datasets
+from lodestrand.operators import chains, datasets, graph, retrieval
+from lodestrand.plans import pairs
+from pyspark.sql import functions as F
 
 
 def shuffled(spark, df):
@@ -34,3 +39,29 @@ def test_lexical_units_of_a_large_file(spark):
         want += [(i, n + 1, k, -x) for n, (x, k) in enumerate(s)]
     assert got == want
     assert size < 3_000_000
+
+
+def test_bm25_of_many_documents(spark):
+    r = random.Random(2)
+    words = [f"w{i}" for i in range(60)]
+    texts = [(i, " ".join(r.sample(words, r.randint(0, 30)))) for i in range(3000)]
+    docs = spark.createDataFrame([*texts, (7, "w1 w2"), (8, None)], "doc_id bigint, text string")
+    q = spark.createDataFrame([*texts[::10], (10, "w3")], "query_id bigint, text string")
+    got, size = shuffled(spark, lambda: retrieval.bm25(docs, q, 4).select("query_id", "rank", "doc_id", F.round("score", 4)))
+    rows_ = [(i, set(t.split())) for i, t in [*texts, (7, "w1 w2")]]
+    mean = sum(len(t) for _, t in rows_) / len(rows_)
+    df = Counter(w for _, t in rows_ for w in t)
+    idf = {w: math.log(1 + (len(rows_) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    asked = {}
+    for i, t in [*texts[::10], (10, "w3")]:
+        asked.setdefault(i, Counter()).update(set(t.split()))
+    want = []
+    for i in list(asked)[:12]:
+        s = Counter()
+        for k, t in rows_:
+            s[k] += sum(asked[i][w] * idf[w] for w in t) * 2.5 / (1 + 1.5 * (0.25 + 0.75 * len(t) / mean))
+        best = sorted((-round(x, 6), k) for k, x in s.items() if x > 0)[:4]
+        want += [(i, n + 1, k, round(-x, 4)) for n, (x, k) in enumerate(best)]
+    first = set(list(asked)[:12])
+    assert [x for x in got if x[0] in first] == want
+    assert size < 4_000_000
