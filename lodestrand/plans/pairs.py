@@ -140,8 +140,7 @@ def edge_evidence(spark: SparkSession, d: str) -> DataFrame:
     """The evidence of each edge: the unit it points at, else the first five units of its chunk, else the chunk itself, else
     the five units of its file that name its ends best: ``doc``, ``src``, ``rel``, ``dst``, ``how``, ``unit_id``."""
     key = ["doc", "src", "rel", "dst"]
-    e = cut(sc.dedup_edges(edges(spark, d)).select(*key, "file_name", "source_text", "target_text", F.col("unit_id").alias("pointer"), F.coalesce("source_chunk_id", "target_chunk_id").alias("chunk")))
-    e = e.withColumn("edge", ds.digest_id("e_", *key))
+    e = cut(sc.dedup_edges(edges(spark, d)).select(*key, "file_name", "source_text", "target_text", F.col("unit_id").alias("pointer"), F.coalesce("source_chunk_id", "target_chunk_id").alias("chunk"), F.monotonically_increasing_id().alias("edge")))
     u = units(spark, d).select("unit_id", F.col("parent_evidence_id").alias("chunk"), "start_char", "content")
     pointed = e.join(u.select(F.col("unit_id").alias("pointer")), "pointer", "left_semi").select("edge", F.lit("pointer").alias("how"), F.col("pointer").alias("unit_id"))
     rest = e.join(pointed.select("edge"), "edge", "left_anti")

@@ -65,3 +65,14 @@ def test_bm25_of_many_documents(spark):
     first = set(list(asked)[:12])
     assert [x for x in got if x[0] in first] == want
     assert size < 4_000_000
+
+
+def test_edge_evidence_of_unknown_and_empty_documents(spark, small, tmp_path):
+    for t in ("evidence_units", "evidence_chunks"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{small}/{t}.parquet")
+    e = spark.read.parquet(f"{small}/candidate_edges.parquet").where("source_node_id is not null and target_node_id is not null and source_chunk_id is not null").limit(1)
+    e = e.unionByName(e.withColumn("doc_id", F.lit(None).cast("string"))).unionByName(e.withColumn("doc_id", F.lit("")))
+    e.withColumn("rel_props", F.lit(None).cast(e.schema["rel_props"].dataType)).coalesce(1).write.parquet(str(tmp_path / "candidate_edges.parquet"))
+    got = pairs.edge_evidence(spark, str(tmp_path)).collect()
+    assert len({r["doc"] for r in got}) == 3
+    assert len(got) == len(set(got))
