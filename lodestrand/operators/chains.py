@@ -57,7 +57,7 @@ def _missing(layers: list[str]) -> int:
     return at[-1] - at[0] + 1 - len(seen)
 
 
-def penalised_chains(edges: DataFrame, top_k: int = 8, max_hops: int = 6, hop: float = 0.05, again: float = 0.40, left_out: float = 0.50, stop: str = "OUTCOME") -> DataFrame:
+def penalised_chains(edges: DataFrame, top_k: int = 8, max_hops: int = 6, hop: float = 0.05, again: float = 0.40, left_out: float = 0.50, stop: str = "OUTCOME", buckets: int = 256) -> DataFrame:
     """Best-first search in each document from its roots (all sources where there is none).
 
     A step gains ``step`` (the edge's weighted probabilities less the penalties of its layers, support, direction and time) and costs
@@ -65,15 +65,19 @@ def penalised_chains(edges: DataFrame, top_k: int = 8, max_hops: int = 6, hop: f
     ``stop`` layer, and may go on; the search ends when five times ``top_k`` are finished or nothing is left. Finished chains lose
     ``left_out`` for every layer they leave out; of equal chains (by their edges) the best counts. States are taken by score, then path.
     Edges have ``doc``, ``src``, ``rel``, ``dst``, ``a`` and ``b`` (layers), ``step``; ``doc``, ``rank``, ``path``, ``missing``, ``score``.
-    A document's edges are the at most twenty of ``scored_edges``, so a group is small.
+    A document's edges are the at most twenty of ``scored_edges``, so a group is small, and many are searched in a call. States from which no
+    step of the hops left arrives at ``stop`` are not kept: they can't be finished, and the order of the others is the same without them.
     """
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         succ = defaultdict(list)
         for s, r, t, a, b, w in sorted(zip(pdf["src"], pdf["rel"], pdf["dst"], pdf["a"], pdf["b"], pdf["step"])):
             succ[s].append((r, t, a, b, float(w)))
+        far = {s: max_hops + 1 for s in succ}
+        for _ in range(max_hops):
+            far = {s: min(1 if b == stop else 1 + far.get(t, max_hops) for _, t, _, b, _ in out) for s, out in succ.items() if out}
         starts = sorted(set(pdf["src"]) - set(pdf["dst"])) or sorted(set(pdf["src"]))
-        heap = [(0.0, (s,), (), ()) for s in starts]
+        heap = [(0.0, (s,), (), ()) for s in starts if far[s] <= max_hops]
         heapq.heapify(heap)
         done: list[tuple] = []
         while heap and len(done) < 5 * top_k:
@@ -83,7 +87,9 @@ def penalised_chains(edges: DataFrame, top_k: int = 8, max_hops: int = 6, hop: f
                 done.append((-cost - left_out * gone, path, rels, gone))
             if len(rels) >= max_hops:
                 continue
-            for r, t, a, b, w in succ[path[-1]]:
+            for r, t, a, b, w in succ.get(path[-1], ()):
+                if b != stop and len(rels) + 1 + far.get(t, max_hops) > max_hops:
+                    continue
                 price = hop * len(rels) + (again if t in path else 0.0)
                 heapq.heappush(heap, (cost - w + price, (*path, t), (*rels, r), (*layers[:-1], a, b)))
         best: dict[tuple, tuple] = {}
@@ -92,7 +98,12 @@ def penalised_chains(edges: DataFrame, top_k: int = 8, max_hops: int = 6, hop: f
         rows = list(best.values())[:top_k]
         return pd.DataFrame({"doc": pd.Series([pdf["doc"].iat[0]] * len(rows), dtype=object), "rank": pd.Series(range(1, len(rows) + 1), dtype="int32"), "path": pd.Series([list(p) for p, _, _ in rows], dtype=object), "missing": pd.Series([m for *_, m in rows], dtype="int32"), "score": pd.Series([round(s, 6) for _, s, _ in rows], dtype=float)})
 
-    return edges.select("doc", "src", "rel", "dst", "a", "b", "step").groupBy("doc").applyInPandas(search, "doc string, rank int, path array<string>, missing int, score double")
+    def search_all(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [search(x) for _, x in pdf.groupby("doc", dropna=False, sort=False)]
+        return pd.concat(found, ignore_index=True)
+
+    e = edges.select("doc", "src", "rel", "dst", "a", "b", "step").withColumn("__b", F.pmod(F.xxhash64("doc"), F.lit(buckets)))
+    return e.groupBy("__b").applyInPandas(search_all, "doc string, rank int, path array<string>, missing int, score double")
 
 
 def branch_scores(branches: DataFrame, w: dict[str, float] = lx.BRANCH_WEIGHTS, gap: float = 0.15) -> DataFrame:

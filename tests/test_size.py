@@ -76,3 +76,11 @@ def test_edge_evidence_of_unknown_and_empty_documents(spark, small, tmp_path):
     got = pairs.edge_evidence(spark, str(tmp_path)).collect()
     assert len({r["doc"] for r in got}) == 3
     assert len(got) == len(set(got))
+
+
+def test_chain_search_drops_what_never_arrives(spark):
+    es = [("d", f"n{i}", r, f"n{j}", "EVENT", "EVENT", -0.1) for i in range(4) for j in range(4) if i != j for r in ("A", "B", "C", "D", "E", "F")]
+    e = spark.createDataFrame([*es, ("d", "x", "R", "y", "EVENT", "OUTCOME", 0.5), ("f", "x", "R", "y", "EVENT", "OUTCOME", 0.5)], "doc string, src string, rel string, dst string, a string, b string, step double")
+    began = time.time()
+    assert rows(chains.penalised_chains(e).select("doc", "rank", "path", "missing")) == [("d", 1, ["x", "y"], 0), ("f", 1, ["x", "y"], 0)]
+    assert time.time() - began < 40
