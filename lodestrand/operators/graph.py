@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,134 @@ def closure(edges: DataFrame, keys: list[str], depth: int | None = None) -> Data
     return found
 
 
+def _bucketed(df: DataFrame, key: str, rows: int = 20_000) -> DataFrame:
+    """``df`` with the bucket ``__b`` of its ``key``; the rows of a key are in one bucket."""
+    n = max(df.count() // rows, df.sparkSession.sparkContext.defaultParallelism)
+    return df.withColumn("__b", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
+
+
+def _components(succ: list[list[int]]) -> tuple[list[int], int]:
+    """The strongly connected component of each node, numbered so that a component comes after all that it reaches; how many there are."""
+    n = len(succ)
+    low, comp, stack, count_, clock = [0] * n, [-1] * n, [], 0, 0
+    for root in range(n):
+        if low[root]:
+            continue
+        clock += 1
+        low[root] = clock
+        stack.append(root)
+        work = [(root, clock, iter(succ[root]))]
+        while work:
+            v, at, rest = work[-1]
+            for x in rest:
+                if not low[x]:
+                    clock += 1
+                    low[x] = clock
+                    stack.append(x)
+                    work.append((x, clock, iter(succ[x])))
+                    break
+                if comp[x] < 0:
+                    low[v] = min(low[v], low[x])
+            else:
+                work.pop()
+                if low[v] == at:
+                    while True:
+                        x = stack.pop()
+                        comp[x] = count_
+                        if x == v:
+                            break
+                    count_ += 1
+                elif work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+    return comp, count_
+
+
+def _shared_below(edges: list[tuple[str, str]], sources: set[str], width: int) -> dict[str, int]:
+    """For each of ``sources`` how many of the nodes it reaches another of them reaches too; none is left out."""
+    ids: dict[str, int] = {}
+    for a, b in edges:
+        ids.setdefault(a, len(ids))
+        ids.setdefault(b, len(ids))
+    succ: list[list[int]] = [[] for _ in ids]
+    for a, b in edges:
+        succ[ids[a]].append(ids[b])
+    comp, n = _components(succ)
+    below: list[set[int]] = [set() for _ in range(n)]
+    for v, ts in enumerate(succ):
+        below[comp[v]].update(comp[t] for t in ts)  # a component with a cycle is below itself
+    members: list[list[int]] = [[] for _ in range(n)]
+    for place, v in enumerate(sorted(range(len(comp)), key=comp.__getitem__)):
+        members[comp[v]].append(place)
+    own = [0] * n
+    for s in sources:
+        if s in ids:
+            own[comp[ids[s]]] += 1
+    found = [0] * n
+    step = max(64, width // max(n, 1))
+    for lo in range(0, len(comp), step):
+        reach, once, twice = [0] * n, 0, 0
+        for c in range(n):
+            r = 0
+            for x in below[c]:
+                if x != c:
+                    r |= reach[x]
+                a, z = max(members[x][0] - lo, 0), min(members[x][-1] + 1 - lo, step)
+                if a < z:
+                    r |= ((1 << (z - a)) - 1) << a
+            reach[c] = r
+            if own[c]:
+                twice |= r if own[c] > 1 else once & r
+                once |= r
+        for c in range(n):
+            if own[c]:
+                found[c] += (reach[c] & twice).bit_count()
+    return {s: found[comp[ids[s]]] for s in sources if s in ids}
+
+
+def shared_below(edges: DataFrame, sources: DataFrame, key: str, width: int = 1 << 29) -> DataFrame:
+    """``key``, ``src``, ``shared``: for each of the ``sources`` (``key``, ``src``) the number of nodes downstream, in any number of
+    directed steps of its group, that another source of the group reaches too, where there is one. A node on a cycle reaches itself.
+
+    Groups are whole in one task, many to a bucket. Inside one, nodes that reach each other are one component, and a component's
+    nodes downstream are bits of a number, ``width`` bits at a time; pairs of nodes are never rows.
+    """
+    both = edges.select(key, "src", "dst").where("src is not null and dst is not null").unionByName(sources.select(key, "src", F.lit(None).cast("string").alias("dst"))).where(F.col(key).isNotNull())
+
+    def count_shared(pdf: pd.DataFrame) -> pd.DataFrame:
+        groups: dict[str, tuple[list, set]] = {}
+        for g, s, t in zip(pdf[key], pdf["src"], pdf["dst"]):
+            es, ss = groups.setdefault(g, ([], set()))
+            if t is None:
+                ss.add(s)
+            else:
+                es.append((s, t))
+        out = [(g, s, n) for g, (es, ss) in groups.items() for s, n in _shared_below(es, ss, width).items() if n]
+        return pd.DataFrame({key: pd.Series([x[0] for x in out], dtype=object), "src": pd.Series([x[1] for x in out], dtype=object), "shared": pd.Series([x[2] for x in out], dtype="int64")})
+
+    return _bucketed(cut(both), key).groupBy("__b").applyInPandas(count_shared, f"{key} string, src string, shared bigint")
+
+
+def cyclic(edges: DataFrame, key: str) -> DataFrame:
+    """The ``key`` of each group of edges that has a directed cycle. Groups are whole in one task, many to a bucket."""
+    e = edges.select(key, "src", "dst").where(f"{key} is not null and src is not null and dst is not null")
+
+    def with_cycle(pdf: pd.DataFrame) -> pd.DataFrame:
+        groups: dict[str, list] = {}
+        for g, s, t in zip(pdf[key], pdf["src"], pdf["dst"]):
+            groups.setdefault(g, []).append((s, t))
+        found = []
+        for g, es in groups.items():
+            ids = {x: i for i, x in enumerate({x for st in es for x in st})}
+            succ: list[list[int]] = [[] for _ in ids]
+            for s, t in es:
+                succ[ids[s]].append(ids[t])
+            if _components(succ)[1] < len(ids) or any(s == t for s, t in es):
+                found.append(g)
+        return pd.DataFrame({key: pd.Series(found, dtype=object)})
+
+    return _bucketed(e, key).groupBy("__b").applyInPandas(with_cycle, f"{key} string")
+
+
 def roots(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Sources that are no target."""
     s = edges.select(*keys, F.col("src").alias("node")).where("node is not null").distinct()

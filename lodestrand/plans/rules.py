@@ -37,9 +37,7 @@ def node_priors(spark: SparkSession, d: str) -> DataFrame:
     out = e.groupBy("doc", F.col("src").alias("node_id")).agg(F.count("*").alias("fanout"), F.sum(F.lower("rel").contains("enable").cast("int")).alias("enables"))
     inn = e.groupBy("doc", F.col("dst").alias("node_id")).agg(F.count("*").alias("depth"), F.countDistinct("src").alias("preds"))
     mine = n.select("doc", F.col("node_id").alias("src"))
-    down = cut(graph.closure(e, ["doc"]).join(mine, ["doc", "src"], "left_semi"))
-    shared = down.groupBy("doc", "node").agg(F.count("*").alias("k")).where("k > 1").select("doc", "node")
-    shared = down.join(shared, ["doc", "node"], "left_semi").groupBy("doc", F.col("src").alias("node_id")).agg(F.count("*").alias("shared"))
+    shared = graph.shared_below(e, mine, "doc").withColumnRenamed("src", "node_id")
     w = Window.partitionBy("doc")
     n = n.withColumns({"lo": F.min("temporal_rank").over(w), "hi": F.max("temporal_rank").over(w)})
     j = n.join(out, ["doc", "node_id"], "left").join(inn, ["doc", "node_id"], "left").join(shared, ["doc", "node_id"], "left")
@@ -76,7 +74,7 @@ def _branches(spark: SparkSession, d: str) -> DataFrame:
         F.sum("en").alias("ens"), F.sum(F.col("en") * F.col("back")).alias("late_ens"), F.max(F.when(up.isin(HARM), F.struct("seq", "edge_id", "target_node_id"))).alias("h"), F.max(F.struct("seq", "edge_id", "target_node_id")).alias("l"),
         F.sort_array(F.collect_set(F.when(up.isin(CONSEQUENCE), F.col("target_node_id")))).alias("cons"), F.collect_set("source_node_id").alias("ss"), F.collect_set("target_node_id").alias("ts"), F.min(F.struct("seq", "edge_id", "source_node_id")).alias("f"),
     )
-    loops = graph.closure(e.select("chain_id", F.col("source_node_id").alias("src"), F.col("target_node_id").alias("dst")), ["chain_id"]).where("src = node").select("chain_id").distinct().withColumn("cycle", F.lit(1.0))
+    loops = graph.cyclic(e.select("chain_id", F.col("source_node_id").alias("src"), F.col("target_node_id").alias("dst")), "chain_id").withColumn("cycle", F.lit(1.0))
     heads = F.array_except("ss", "ts")
     roots = F.sort_array(F.when(F.size(heads) > 0, heads).otherwise(F.array("f.source_node_id")))
     g = g.join(files, "chain_id").join(loops, "chain_id", "left").select(

@@ -84,3 +84,36 @@ def test_chain_search_drops_what_never_arrives(spark):
     began = time.time()
     assert rows(chains.penalised_chains(e).select("doc", "rank", "path", "missing")) == [("d", 1, ["x", "y"], 0), ("f", 1, ["x", "y"], 0)]
     assert time.time() - began < 40
+
+
+def test_shared_nodes_of_a_large_document(spark):
+    r = random.Random(3)
+    es = [("big", f"n{r.randrange(900)}", f"n{r.randrange(900)}") for _ in range(1500)] + [("a", "x", "y"), ("a", "z", "y"), ("a", "y", "w"), ("b", "x", "y"), ("c", "x", "x"), ("c", "y", "x")]
+    ss = [("big", f"n{i}") for i in range(0, 900, 2)] + [("a", "x"), ("a", "z"), ("b", "x"), ("c", "x"), ("c", "y"), ("c", "q")]
+    e, s = spark.createDataFrame(es, "doc string, src string, dst string"), spark.createDataFrame(ss, "doc string, src string")
+    want = []
+    for d in {x[0] for x in es}:
+        succ = {}
+        for g, a, b in es:
+            if g == d:
+                succ.setdefault(a, set()).add(b)
+        reach = {}
+        for g, a in ss:
+            if g == d:
+                seen, todo = set(), [a]
+                while todo:
+                    new = succ.get(todo.pop(), set()) - seen
+                    seen |= new
+                    todo += new
+                reach[a] = seen
+        met = Counter(x for xs in reach.values() for x in xs)
+        want += [(d, a, n) for a, xs in reach.items() if (n := sum(met[x] > 1 for x in xs))]
+    for width in (1 << 29, 1 << 14):
+        got, size = shuffled(spark, lambda: graph.shared_below(e, s, "doc", width))
+        assert got == sorted(want)
+        assert size < 200_000
+
+
+def test_cyclic_chains(spark):
+    es = [("a", "x", "y"), ("a", "y", "x"), ("b", "x", "y"), ("b", "y", "z"), ("b", "x", "z"), ("c", "x", "x"), ("d", "x", None), (None, "x", "x"), *(("l", f"n{i}", f"n{i + 1}") for i in range(3000)), ("l", "n3000", "n0")]
+    assert rows(graph.cyclic(spark.createDataFrame(es, "g string, src string, dst string"), "g")) == [("a",), ("c",), ("l",)]
