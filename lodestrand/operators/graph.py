@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrand.session import cut
+from lodestrand.session import cut, fan_out
 
 
 def undirected(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -136,23 +138,34 @@ def shared_below(edges: DataFrame, sources: DataFrame, key: str, width: int = 1
     """``key``, ``src``, ``shared``: for each of the ``sources`` (``key``, ``src``) the number of nodes downstream, in any number of
     directed steps of its group, that another source of the group reaches too, where there is one. A node on a cycle reaches itself.
 
-    Groups are whole in one task, many to a bucket. Inside one, nodes that reach each other are one component, and a component's
-    nodes downstream are bits of a number, ``width`` bits at a time; pairs of nodes are never rows.
+    Groups are whole in one task, which holds one at a time. Inside one, nodes that reach each other are one component, and a
+    component's nodes downstream are bits of a number, ``width`` bits at a time; pairs of nodes are never rows.
     """
     both = edges.select(key, "src", "dst").where("src is not null and dst is not null").unionByName(sources.select(key, "src", F.lit(None).cast("string").alias("dst"))).where(F.col(key).isNotNull())
 
-    def count_shared(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups: dict[str, tuple[list, set]] = {}
-        for g, s, t in zip(pdf[key], pdf["src"], pdf["dst"]):
-            es, ss = groups.setdefault(g, ([], set()))
-            if t is None:
-                ss.add(s)
-            else:
-                es.append((s, t))
-        out = [(g, s, n) for g, (es, ss) in groups.items() for s, n in _shared_below(es, ss, width).items() if n]
-        return pd.DataFrame({key: pd.Series([x[0] for x in out], dtype=object), "src": pd.Series([x[1] for x in out], dtype=object), "shared": pd.Series([x[2] for x in out], dtype="int64")})
-
-    return _bucketed(cut(both), key).groupBy("__b").applyInPandas(count_shared, f"{key} string, src string, shared bigint")
+    def count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, es, ss = None, [], set()
+
+        def counted() -> list[tuple[str, str, int]]:
+            return [(at, s, n) for s, n in _shared_below(es, ss, width).items() if n]
+
+        def batch(out: list[tuple[str, str, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], [key, "src", "shared"])
+
+        for b in batches:
+            out = []
+            for g, s, t in zip(*(c.to_pylist() for c in b.columns)):
+                if g != at:
+                    out += counted()
+                    at, es, ss = g, [], set()
+                if t is None:
+                    ss.add(s)
+                else:
+                    es.append((s, t))
+            yield batch(out)
+        yield batch(counted())
+
+    return fan_out(both, 3, key).sortWithinPartitions(key).mapInArrow(count_shared, f"{key} string, src string, shared bigint")
 
 
 def cyclic(edges: DataFrame, key: str) -> DataFrame:

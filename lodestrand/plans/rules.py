@@ -11,7 +11,7 @@ from lodestrand.operators import chains as ch
 from lodestrand.operators import graph
 from lodestrand.operators import scoring as sc
 from lodestrand.operators.ordering import numbered
-from lodestrand.operators.views import CTE, doc_key, edges, nodes, units, with_
+from lodestrand.operators.views import CTE, doc_key, edge_rows, nodes, units, with_
 from lodestrand.plans.paths import _CE, chain_edges
 from lodestrand.plans.scores import _BEST, _FEAT, _GATE, _MULTI, _PRE, _SINGLE, _allowed_sql, _DIST, with_evidence
 from lodestrand.session import cut, table
@@ -22,8 +22,11 @@ ENERGY, TOXIC = ["爆炸", "爆燃", "火灾", "坍塌"], ["中毒", "窒息", "
 
 
 def document_graph(spark: SparkSession, d: str) -> DataFrame:
-    """``doc``, ``src``, ``dst``, ``rel``: the edges of each document, once each."""
-    return sc.dedup_edges(edges(spark, d)).where("doc is not null").select("doc", "src", "dst", "rel").distinct()
+    """``doc``, ``src``, ``dst``, ``rel``: the edges of each document, once each.
+
+    A document's edges are in one task, so they are shuffled once for all that is counted by document and node.
+    """
+    return edge_rows(spark, d).where("doc is not null and src is not null and dst is not null").select("doc", "src", "dst", "rel").repartition("doc").distinct()
 
 
 def node_priors(spark: SparkSession, d: str) -> DataFrame:
@@ -33,7 +36,7 @@ def node_priors(spark: SparkSession, d: str) -> DataFrame:
     A null or unknown document has no rows; a missing rank counts as the middle.
     """
     n = nodes(spark, d).select(doc_key().alias("doc"), "node_id", "text", "canonical_type", "temporal_rank", "role_tags").where("doc is not null")
-    e = cut(document_graph(spark, d))
+    e = document_graph(spark, d)
     out = e.groupBy("doc", F.col("src").alias("node_id")).agg(F.count("*").alias("fanout"), F.sum(F.lower("rel").contains("enable").cast("int")).alias("enables"))
     inn = e.groupBy("doc", F.col("dst").alias("node_id")).agg(F.count("*").alias("depth"), F.countDistinct("src").alias("preds"))
     mine = n.select("doc", F.col("node_id").alias("src"))

@@ -54,14 +54,14 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def fan_out(df: DataFrame, per_core: int = 3) -> DataFrame:
+def fan_out(df: DataFrame, per_core: int = 3, *keys: str) -> DataFrame:
     """``df`` in as many tasks as there are shuffle partitions, and at least ``per_core`` a core.
 
     For stages that compute long on rows that come out of an aggregation: adaptive execution joins small partitions by
-    their bytes, which leaves such a stage few tasks. Nothing is executed to find the number.
+    their bytes, which leaves such a stage few tasks. Nothing is executed to find the number. Rows of equal ``keys`` are in one task.
     """
     spark = df.sparkSession
-    return df.repartition(max(spark.sparkContext.defaultParallelism * per_core, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return df.repartition(max(spark.sparkContext.defaultParallelism * per_core, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def spread(df: DataFrame, per_core: int = 3, *keys: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections import Counter
 
 from conftest import rows
 from lodestrand.operators import chains, datasets, graph, retrieval
-from lodestrand.plans import pairs
+from lodestrand.plans import pairs, rules
 from pyspark.sql import functions as F
 
 
@@ -114,6 +114,30 @@ def test_shared_nodes_of_a_large_document(spark):
         assert size < 200_000
 
 
+def test_shared_nodes_of_a_document_in_many_batches(spark):
+    e = spark.createDataFrame([(d, f"n{i}", f"n{i + 1}") for d in ("a", "b", "c") for i in range(30)], "doc string, src string, dst string")
+    s = spark.createDataFrame([(d, f"n{i}") for d in ("a", "b", "d") for i in (0, 10, 20)], "doc string, src string")
+    rows_of = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows_of)
+    spark.conf.set(rows_of, "7")
+    try:
+        got = rows(graph.shared_below(e, s, "doc"))
+    finally:
+        spark.conf.set(rows_of, before)
+    assert got == [(d, f"n{i}", 20 if i < 20 else 10) for d in ("a", "b") for i in (0, 10, 20)]
+
+
+def test_priors_shuffle_no_texts_of_edges(spark, small, tmp_path):
+    (tmp_path / "causal_nodes.parquet").symlink_to(f"{small}/causal_nodes.parquet")
+    e = spark.read.parquet(f"{small}/candidate_edges.parquet")
+    text = F.concat(*(F.sha2(F.concat_ws("|", "source_node_id", "target_node_id", "copy", F.lit(i)), 512) for i in range(8)))
+    e.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(20)))).withColumn("evidence_text", text).drop("copy").write.parquet(str(tmp_path / "candidate_edges.parquet"))
+    got, size = shuffled(spark, lambda: rules.node_first_prior(spark, str(tmp_path)))
+    assert got == rows(rules.node_first_prior(spark, small))
+    assert size < 1_000_000
+    assert "ExistingRDD" not in rules.node_first_prior(spark, small)._jdf.queryExecution().toString()  # no checkpoint of edges on disk
+
+
 def test_cyclic_chains(spark):
     es = [("a", "x", "y"), ("a", "y", "x"), ("b", "x", "y"), ("b", "y", "z"), ("b", "x", "z"), ("c", "x", "x"), ("d", "x", None), (None, "x", "x"), *(("l", f"n{i}", f"n{i + 1}") for i in range(3000)), ("l", "n3000", "n0")]
     assert rows(graph.cyclic(spark.createDataFrame(es, "g string, src string, dst string"), "g")) == [("a",), ("c",), ("l",)]
