@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrand import lexicons as lx
-from lodestrand.functions.text import clamp01, contains_any, discretize, normalize, overlap_max, overlap_min
+from lodestrand.functions.text import clamp01, contains_any, discretize, gate_tokens, normalize, overlap_min
 
 
 def dedup_edges(edges: DataFrame) -> DataFrame:
@@ -119,11 +119,15 @@ def support_gate(edges: DataFrame) -> DataFrame:
     e = edges.withColumns({"ev": ev, "ls": s, "lg": g})
     si = F.when(F.col("ls") != "", F.instr("ev", F.col("ls"))).otherwise(0)
     gi = F.when(F.col("lg") != "", F.instr("ev", F.col("lg"))).otherwise(0)
-    e = e.withColumns({"si": si, "gi": gi, "overlap": F.greatest(overlap_max(F.concat_ws(" ", "ls", "lg"), "ev"), overlap_max(F.concat_ws(" ", "ls", "rel", "lg"), "ev"))})
+    # the tokens of texts joined by spaces are those of each; each text is cut once
+    e = e.withColumns({"si": si, "gi": gi, **{f"t_{c}": F.array_distinct(gate_tokens(c)) for c in ("ev", "ls", "lg")}}).withColumn("t_ends", F.array_union("t_ls", "t_lg"))
+    e = e.withColumn("t_all", F.array_union("t_ends", gate_tokens("rel"))).withColumns({f"n_{c}": F.size(F.array_intersect(f"t_{c}", "t_ev")) for c in ("ls", "lg", "ends", "all")})
+    share = lambda c: F.when(F.col(f"n_{c}") == 0, 0.0).otherwise(F.col(f"n_{c}") / F.greatest(F.size(f"t_{c}"), F.size("t_ev")))
+    e = e.withColumn("overlap", F.greatest(share("ends"), share("all")))
     src, tgt = F.col("si") > 0, F.col("gi") > 0
     trigger, ordered = contains_any("ev", lx.TRIGGERS), src & tgt & (F.col("si") <= F.col("gi"))
     raw = F.least(F.col("overlap"), F.lit(0.35)) + _if(src, 0.20) + _if(tgt, 0.20) + _if(src & tgt, 0.20) + _if(trigger, 0.25) + 0.10 + _if(ordered, 0.10) - _if(contains_any("ev", lx.GATE_NEGATIVE), 0.25)
-    has_s, has_g = overlap_max("ls", "ev") > 0, overlap_max("lg", "ev") > 0
+    has_s, has_g = F.col("n_ls") > 0, F.col("n_lg") > 0
     temporal = clamp01(_if(contains_any("ev", ["先", "随后", "然后", "之后", "before", "after", "then", "followed"]), 0.4) + _if(has_s, 0.3) + _if(has_g, 0.3))
     direction = clamp01(_if(ordered, 0.55) + _if(contains_any("ev", ["导致", "引发", "causes", "leads to", "results in"]), 0.35) - _if(contains_any("ev", ["由", "源于", "caused by", "due to"]), 0.25))
     first = clamp01(_if(contains_any("ev", ["诱因", "隐患", "先是", "起初", "根本原因", "为后续提供条件", "root cause"]), 0.6) + _if(has_s, 0.4))

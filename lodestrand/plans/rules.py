@@ -146,19 +146,17 @@ def review_sample(spark: SparkSession, d: str, size: int = 2000, per_doc: int =
 
 
 def scored_edges(spark: SparkSession, d: str) -> DataFrame:
-    """The twenty best edges of each document with what the search weighs: task probabilities, support, layers."""
+    """All edges of each document with what the search weighs: task probabilities, support, layers."""
     m = sc.support_gate(sc.multitask(sc.evidence_features(with_evidence(spark, d)))).where("doc is not null")
     p = {"causal": "causal_conf", "enable": "enable_conf", "dir": "dir_conf", "temp": "temporal_conf", "evidence": "p_evidence", "first": "first_src_conf"}
     gain = sum((lx.EDGE_WEIGHTS[k] * F.col(c) for k, c in p.items()), F.lit(0.0))
     apart = 0.15 * F.greatest(sc.layer_distance() - 1, F.lit(0))
     cost = F.when(sc.transition_allowed(lx.TRANSITIONS, True, True), 0.0).otherwise(0.75) + apart + F.when(F.col("supported"), 0.0).otherwise(1.0) + F.when(F.col("dir_conf") < 0.5, 0.40).otherwise(0.0) + F.when(F.col("temporal_conf") < 0.5, 0.40).otherwise(0.0)
-    rn = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("quality"), "src", "rel", "dst"))
-    kept = m.withColumn("rn", rn).where("rn <= 20")
-    return kept.select("doc", "src", "rel", "dst", F.upper(F.coalesce("source_layer", F.lit("UNK"))).alias("a"), F.upper(F.coalesce("target_layer", F.lit("UNK"))).alias("b"), F.round(gain - cost, 6).alias("step"))
+    return m.select("doc", "src", "rel", "dst", F.upper(F.coalesce("source_layer", F.lit("UNK"))).alias("a"), F.upper(F.coalesce("target_layer", F.lit("UNK"))).alias("b"), F.round(gain - cost, 6).alias("step"))
 
 
 def beam_chain_search(spark: SparkSession, d: str) -> DataFrame:
-    """The eight best chains of each document by penalised best-first search from its roots."""
+    """The eight best chains of each document by penalised best-first search over all its edges from its roots."""
     return ch.penalised_chains(scored_edges(spark, d)).select("doc", "rank", F.array_join("path", ">").alias("path"), "missing", "score")
 
 

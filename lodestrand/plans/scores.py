@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrand import lexicons as lx
 from lodestrand.operators import scoring as sc
-from lodestrand.operators.views import CTE, chunks, edges, units, with_
+from lodestrand.operators.views import CTE, chunks, edge_rows, edges, units, with_
 from lodestrand.plans.texts import any_sql
 
 # SQL of the deduplicated edges with their evidence: the pointed unit's content, else the edge's own text.
@@ -43,9 +43,15 @@ _clamp = lambda x: f"greatest(0.0, least(1.0, {x}))"
 
 
 def with_evidence(spark: SparkSession, d: str) -> DataFrame:
-    """Deduplicated edges with ``evidence``: the pointed unit's content, else the edge's own text."""
-    u = units(spark, d).select("unit_id", F.col("content").alias("unit_content"))
-    return sc.dedup_edges(edges(spark, d)).join(u, "unit_id", "left").withColumn("evidence", F.coalesce("unit_content", "evidence_text"))
+    """Deduplicated edges with ``evidence``: the pointed unit's content, else the edge's own text.
+
+    Copies of an edge need no step of their own: the best of its rows is kept. Edges without a pointer join nothing, by keys that
+    differ, so that they are not one task's.
+    """
+    e = sc.dedup_edges(edge_rows(spark, d))
+    u = units(spark, d).select(F.col("unit_id").alias("pointed"), F.col("content").alias("unit_content"))
+    key = F.coalesce("unit_id", F.hash("doc", "src", "rel", "dst").cast("string"))
+    return e.join(u, (key == F.col("pointed")) & F.col("unit_id").isNotNull(), "left").drop("pointed").withColumn("evidence", F.coalesce("unit_content", "evidence_text"))
 
 
 _KEY = ("doc", "src", "rel", "dst")

@@ -1,5 +1,6 @@
 """Operators on tables with one large group: right results without rows for every pair of its members."""
 
+import heapq
 import math
 import random
 import time
@@ -86,6 +87,44 @@ def test_chain_search_drops_what_never_arrives(spark):
     assert time.time() - began < 40
 
 
+def test_chain_search_of_a_large_document(spark):
+    """Seven levels of forty nodes, every node before all of the next: of four billion chains alike, the first by path."""
+    es = [("d", f"{'abcdefg'[k]}{i:02}", "R", f"{'abcdefg'[k + 1]}{j:02}", "EVENT", "OUTCOME" if k == 5 else "EVENT", -0.1) for k in range(6) for i in range(40) for j in range(40)]
+    e = spark.createDataFrame(es, "doc string, src string, rel string, dst string, a string, b string, step double")
+    began = time.time()
+    got = rows(chains.penalised_chains(e).select("rank", F.array_join("path", ">"), "missing", "score"))
+    assert got == [(n + 1, f"a00>b00>c00>d00>e00>f00>g{n:02}", 0, round(-6 * 0.1 - 15 * 0.05, 6)) for n in range(8)]
+    assert time.time() - began < 40
+
+
+def test_chain_search_takes_states_in_order():
+    """As a search that walks all states, in the same order."""
+    r = random.Random(4)
+
+    def plain(succ, starts, most, max_hops, hop, again, stop):
+        heap, done = [(0, (s,), (), ()) for s in sorted(starts)], []
+        while heap and len(done) < most:
+            cost, path, rels, layers = heapq.heappop(heap)
+            if rels and layers[-1] == stop:
+                done.append((cost, path, rels, layers))
+            for t, q, a, b, w in succ.get(path[-1], ()) if len(rels) < max_hops else ():
+                heapq.heappush(heap, (cost - w + hop * len(rels) + (again if t in path else 0), (*path, t), (*rels, q), (*layers[:-1], a, b)))
+        return done
+
+    found = 0
+    for _ in range(1500):
+        gains = r.choice([[-1], [0], [2], [-5, 3], range(-9, 9)])
+        pairs_ = {(f"n{r.randrange(6)}", f"n{r.randrange(6)}", r.choice("RS")) for _ in range(r.randint(1, 12))}
+        succ = {}
+        for s, t, q in sorted(pairs_):
+            succ.setdefault(s, []).append((t, q, "EVENT", r.choice(["EVENT", "STATE", "OUTCOME"]), r.choice(gains)))
+        x = (succ, succ.keys() - {t for _, t, _ in pairs_} or succ.keys(), r.choice([1, 5, 40]), r.choice([1, 3, 5]), r.choice([0, 1]), r.choice([0, 1, 4]), "OUTCOME")
+        want = plain(*x)
+        assert chains._first_finished(*x) == want
+        found += len(want)
+    assert found > 4000
+
+
 def test_shared_nodes_of_a_large_document(spark):
     r = random.Random(3)
     es = [("big", f"n{r.randrange(900)}", f"n{r.randrange(900)}") for _ in range(1500)] + [("a", "x", "y"), ("a", "z", "y"), ("a", "y", "w"), ("b", "x", "y"), ("c", "x", "x"), ("c", "y", "x")]
